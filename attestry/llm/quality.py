@@ -20,15 +20,21 @@ def words(text: Column) -> Column:
 
 
 def ngrams(hashes: str, buckets: int) -> Column:
-    """Buckets of the words and of the pairs of neighbours; hashes: 64-bit hashes of the words."""
+    """Buckets of the tokens and of the pairs of neighbours; hashes: 64-bit hashes of the tokens."""
     one = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
     two = F.when(F.size(hashes) > 1, F.transform(F.sequence(F.lit(0), F.size(hashes) - 2), lambda i: F.pmod(F.xxhash64(F.col(hashes)[i], F.col(hashes)[i + 1]), F.lit(buckets)).cast("int")))
     return F.concat(one, F.coalesce(two, F.array().cast("array<int>")))
 
 
+def endings() -> Column:
+    """The hash of each word's last three characters, the tokens of the model. There are few of them in any corpus, so
+    their counts per bucket keep their meaning as the corpus grows, which those of whole rare words don't."""
+    return F.transform("__words", lambda w: F.xxhash64(F.substring(w, -3, 3)))
+
+
 def hashed(docs: DataFrame) -> DataFrame:
-    """docs with __hs: the hash of each word, ASCII case ignored by lower()."""
-    return docs.withColumn("__words", words(F.col("text"))).withColumn("__hs", F.transform("__words", lambda w: F.xxhash64(F.lower(w))))
+    """docs with __hs: the hashes that n-grams are made of."""
+    return docs.withColumn("__words", words(F.col("text"))).withColumn("__hs", endings())
 
 
 def learn(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
@@ -81,12 +87,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """docs with the base columns, score and kept.
 
-    score: the weights of the document's words and pairs of words, added and divided by their number; 0 without words.
+    score: the weights of the document's tokens and pairs of tokens, added and divided by their number; 0 without words.
     kept: not base_failed and score >= threshold, so one document always gets the same verdict. Null text: no words, so
     base_failed. Rows are judged each; other columns pass through."""
     table = F.lit(weights)
     out = base_counts(docs.withColumn("__words", words(F.col("text"))))
-    out = out.withColumn("__hs", F.transform("__words", lambda w: F.xxhash64(F.lower(w))))
+    out = out.withColumn("__hs", endings())
     out = out.withColumn("__ng", ngrams("__hs", len(weights)))
     total = F.aggregate("__ng", F.lit(0.0), lambda s, b: s + F.element_at(table, b + 1))
     out = out.withColumn("score", F.when(F.size("__ng") > 0, total / F.size("__ng")).otherwise(F.lit(0.0)))
