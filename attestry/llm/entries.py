@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, packing, quality
+from . import bpe, line_dedup, packing, quality, suffix_dedup
 
 
 def queries() -> dict:
     out = {
+        "op1_suffix_dedup": suffix_dedup.query,
         "op3_line_dedup": line_dedup.query,
         "op6_packing": packing.query,
         "op8_quality_rules": quality.query,
