@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, line_dedup, packing, quality, suffix_dedup
+from . import bpe, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     out = {
         "op1_suffix_dedup": suffix_dedup.query,
+        "op2_toxicity": toxicity.query,
         "op3_line_dedup": line_dedup.query,
         "op5_jaccard_join": jaccard_join.query,
         "op6_packing": packing.query,
