@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity
+from . import bpe, html, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.query,
         "op5_jaccard_join": jaccard_join.query,
         "op6_packing": packing.query,
+        "op7_html_extraction": html.query,
         "op8_quality_rules": quality.query,
         "op10_bpe": bpe.query,
     }
