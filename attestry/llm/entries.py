@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity
+from . import audio, bpe, html, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,10 +10,12 @@ def queries() -> dict:
         "op1_suffix_dedup": suffix_dedup.query,
         "op2_toxicity": toxicity.query,
         "op3_line_dedup": line_dedup.query,
+        "op4_warc_derivatives": warc.query,
         "op5_jaccard_join": jaccard_join.query,
         "op6_packing": packing.query,
         "op7_html_extraction": html.query,
         "op8_quality_rules": quality.query,
+        "op9_audio_fingerprints": audio.query,
         "op10_bpe": bpe.query,
     }
     return out

@@ -283,7 +283,7 @@ def _answer_contexts(width: int):
     return run
 
 
-def _remove(width: int, buckets: int, second: int, schema: pa.Schema):
+def _remove(width: int, buckets: int, second: int, schema: pa.Schema, whole: bool):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left, right, width)
         found = group.contexts(buckets, second)
@@ -301,7 +301,6 @@ def _remove(width: int, buckets: int, second: int, schema: pa.Schema):
                     gone.setdefault(s, []).append(found["places"][hit & (found["places"][:, 0] == s), 1] + k)
         size = np.array(group.sizes, np.int64)
         removed, spans = np.where(group.copy & (size >= width), size, 0), (group.copy & (size >= width)).astype(np.int64)
-        kept = ["" if c else None for c in removed]
         kept = [b"" if r else x.as_py() for r, x in zip(removed, left.column("data"), strict=True)]
         if gone:
             for s, (own, starts, runs) in enumerate(group.runs()):
@@ -317,18 +316,21 @@ def _remove(width: int, buckets: int, second: int, schema: pa.Schema):
                     if k := int(c.sum()):
                         removed[i], spans[i] = k, int(c[0]) + int((c[1:] & ~c[:-1]).sum())
                         kept[i] = runs.data[b:e][~c].tobytes()
+        if whole:
+            kept = [x.decode("utf-8", "ignore").encode("utf-8") if r else x for x, r in zip(kept, removed, strict=True)]
         columns = {"did": left.column("did"), "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept": pa.array(kept, pa.binary())}
         return pa.Table.from_arrays([columns[f.name] if f.name in columns else left.column(f.name) for f in schema], schema=schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_bytes: int = 50, whole_characters: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (the remaining bytes) beside rest, a struct of the other columns.
 
     Removes each byte covered by a min_bytes string that also starts in a document with a smaller doc_id, judged on the
     input. Null text: empty. Texts below min_bytes stay whole. A null doc_id comes after all others. Rows of one doc_id
-    are one document: they remove nothing from each other. Empty table: empty result."""
+    are one document: they remove nothing from each other. Empty table: empty result. whole_characters: kept lacks what is
+    left of a character that lost some of its bytes, so that it is valid UTF-8."""
     if not GRAM < min_bytes <= GRAM + 63:
         raise ValueError("min_bytes out of range")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -353,7 +355,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
     from pyspark.sql.types import StructType
 
     ddl = f"did long, n_bytes long, n_removed long, n_spans long, kept binary, rest {rest_type}"
-    out = meet(_remove(min_bytes, buckets, second, to_arrow_schema(StructType.fromDDL(ddl))), ddl, noted, first, bits)
+    out = meet(_remove(min_bytes, buckets, second, to_arrow_schema(StructType.fromDDL(ddl)), whole_characters), ddl, noted, first, bits)
     return out.withColumn("doc_id", F.when(F.col("did") != NULL_ID, F.col("did"))).drop("did")
 
 
