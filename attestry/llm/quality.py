@@ -43,7 +43,7 @@ def learn(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[f
     docs is the raw corpus, all of it; trusted has the doc_id of the trusted target's documents. One pass counts both;
     the result has a fixed length whatever the corpus."""
     ids = trusted.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__t", F.lit(1))
-    bare = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left")
+    bare = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
     grams = hashed(bare).select("__t", F.explode(ngrams("__hs", buckets)).alias("b"))
     rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("__t").alias("target")).collect()
     raw, target = [SMOOTH] * buckets, [SMOOTH] * buckets
