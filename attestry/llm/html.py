@@ -190,21 +190,30 @@ def common_inside(common: np.ndarray, t: int, length: int, inner: np.ndarray) ->
     return bool((common[window] & inner[window]).any())
 
 
+#: Hosts of more pages than a group are broadcast up to so many; more are joined by a shuffle.
+BROADCAST_HOSTS = 50_000
 PARSED = "page_id long, url string, host string, texts array<string>, inside array<boolean>"
 
 
 def parse(pages: DataFrame) -> DataFrame:
+    """The blocks of each page: those of its article and main elements where it has any."""
+
     def run(batches):
         for batch in batches:
             texts, inside = [], []
             for x in batch.column("html"):
                 found = blocks(x.as_py() or "")
+                if any(m for _, m in found):
+                    found = [b for b in found if b[1]]
                 texts.append([t for t, _ in found])
                 inside.append([m for _, m in found])
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(texts, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.bool_()))], ["page_id", "url", "host", "texts", "inside"])
 
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html").mapInArrow(run, PARSED)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of().alias("host"), "html").mapInArrow(run, PARSED)
+
+
+def host_of():
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
 def main_text(pages: DataFrame, length: int = 12, shared: int = 3, many: int = 20, share: float = 0.8, group: int = 256) -> DataFrame:
@@ -214,18 +223,18 @@ def main_text(pages: DataFrame, length: int = 12, shared: int = 3, many: int = 2
     together, a host's tokens being its own. Pages with an article or main element are those elements' text; on others
     all text that isn't set apart counts. Runs that a host repeats go (see unique_runs). Null html: empty text; a null
     or odd url is a host of its own name ''. Repeated rows are pages of their own. Empty table: empty result."""
-    parsed = stored(parse(pages), "parsed-pages")
-    per = parsed.groupBy("host").agg(F.count("*").alias("n"))
-    total = parsed.count()
-    groups = max(1, total // group)
-    sizes = per.withColumn("parts", F.ceil(F.col("n") / group).cast("int"))
-    dealt = parsed.join(sizes, "host").withColumn("g", F.pmod(F.when(F.col("parts") > 1, F.xxhash64("host", F.pmod(F.xxhash64("page_id"), F.col("parts")))).otherwise(F.xxhash64("host")), F.lit(groups)))
+    host = host_of()
+    per = pages.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
+    groups = max(1, pages.count() // group)
+    large = stored(per.where(F.col("n") > group).select("host", F.ceil(F.col("n") / group).cast("int").alias("parts")), "large-hosts")
+    if large.count() <= BROADCAST_HOSTS:
+        large = F.broadcast(large)
+    dealt = parse(pages).join(large, "host", "left").withColumn("g", F.pmod(F.when(F.col("parts") > 1, F.xxhash64("host", F.pmod(F.xxhash64("page_id"), F.col("parts")))).otherwise(F.xxhash64("host")), F.lit(groups)))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         pages_of = []
         for texts, inside in zip(table.column("texts").to_pylist(), table.column("inside").to_pylist(), strict=True):
-            own = list(zip(texts or [], inside or [], strict=True))
-            pages_of.append([x for x in own if x[1]] if any(m for _, m in own) else own)
+            pages_of.append(list(zip(texts or [], inside or [], strict=True)))
         found = ["\n".join(x) for x in unique_runs(pages_of, table.column("host").to_pylist(), length, shared, many, share)]
         return pa.Table.from_arrays([table.column("page_id"), table.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
