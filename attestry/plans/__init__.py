@@ -1 +1 @@
-
+"""Whole workflows as DataFrame plans."""
