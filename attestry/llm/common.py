@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: A null doc_id is judged after every other; this stands for it inside the operators.
 NULL_ID = (1 << 63) - 1
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,7 +103,7 @@ def powers(base: int, n: int) -> np.ndarray:
             more = min(at, size - at)
             held[at : at + more] = held[:more] * np.uint64(pow(base, at, 1 << 64))
             at += more
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _POWERS[base] = held
     return held[:n]
 
@@ -121,6 +121,33 @@ def span_hash(prefix: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(raw ^ ((end - begin).astype(np.uint64) << np.uint64(48)))
 
 
+def released() -> None:
+    """Gives memory that a finished group used back to the system, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def light(function):
+    """A group function of (key, table) or (key, left, right) that gives its memory back when done."""
+
+    def one(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        out = function(key, table)
+        released()
+        return out
+
+    def two(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        out = function(key, left, right)
+        released()
+        return out
+
+    return one if function.__code__.co_argcount == 2 else two
+
+
 def blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 

@@ -8,7 +8,7 @@ the same D: a document sends keys for its own class and for the one below.
 
 1. Groups of documents send each bucket their distinct keys with one leader each; buckets answer nothing but emit edges
    leader - least leader; members of a group are tied to their leader where they are.
-2. Components of these edges are the candidates. Small ones are dealt to blocks together; one of more than PART members
+2. Components of these edges are the candidates; only their members' texts are read again. Small ones are dealt to blocks together; one of more than PART members
    is dealt out over parts, each of which also gets its hub.
 3. In a block an R-tree over the count vectors (tokens per group) leaves out subtrees whose summed coordinate minima
    cannot reach the overlap needed; what is left is verified on the sets, unless already connected.
@@ -25,68 +25,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, blob, column, exact_copies, group_count, mix, slices, stored
+from .common import LOWER, NULL_ID, UPPER, WHITE_CLASS, blob, column, exact_copies, group_count, light, mix, slices, stored
 from .components import components
-from .shingles import shingle_sets
+from .shingles import M, shingle_sets
 from .suffix_dedup import _batches, bucket_of, split_by
 
 SLICE = 1 << 20
+WORD = r"[^\x20\x09-\x0D]"
 PART = 512
 DIMS = 32
 FANOUT = 16
 SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Sets of a class from this size on send keys of groups with two tokens or more only.
+TWO_FROM = 32
+#: Members of candidate components are broadcast up to so many rows (32 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+#: Rounds of groups: a set with too many light groups is dealt again by another hash.
+ROUNDS = 4
+
+
+def too_light(l: int, r: int, d: int, need: int) -> float:
+    """A bound of the share of sets of l tokens with more than d - r - 1 of d groups below need tokens."""
+    s, load = d - r - 1, l / d
+    light = math.exp(-load) * (1 + load * (need - 1))
+    q = min(0.999, (s + 1) / d)
+    bound = math.exp(-d * (q * math.log(q / light) + (1 - q) * math.log((1 - q) / (1 - light)))) if q > light else 1.0
+    return min(bound, math.comb(d, s + 1) * (1 - (s + 1) / d) ** l) if need == 1 and d < 500 else bound
+
+
 @lru_cache(8)
 def classes(a: int, b: int, largest: int = 1 << 31) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest size, D) of each size class. Sizes that can be linked are in one class or in neighbouring ones."""
-    low, groups, slack = [1], [], []
+    """(smallest size; r, D, slack and least tokens of a group that sends a key) of each size class.
+
+    Sizes that can be linked are in one class or in neighbouring ones. D is 0 where sets differ in so few tokens that
+    they send keys of what is left without them instead."""
+    low, rows = [1], []
     while low[-1] <= largest:
         l = low[-1]
         low.append(l * b // a + 1)
         u = low[-1] - 1
         r = u * (b - a) // a
-        d = r + 1
-        while r and d < 4 * u:
-            mean, load = d * (1 - 1 / d) ** l, l / d
-            spread = math.sqrt(max(0.0, d * (math.exp(-load) - (1 + load) * math.exp(-2 * load))))
-            if d - r - 1 >= mean + 5 * spread + 1:  # more empty groups than this are rare
+        if r <= 1 or (r == 2 and u <= 12):
+            rows.append((r, 0, 0, 0))
+            continue
+        for need, most in ((2, 0.6 * l), (1, 4 * u)) if l >= TWO_FROM else ((1, 4 * u),):
+            d = r + 2
+            while d < most and too_light(l, r, d, need) > 0.02:
+                d += max(1, d // 64)
+            if d < most:
                 break
-            d += max(1, d // 64)
-        groups.append(d)
-        slack.append(d - r - 1)
-    return np.array(low[:-1], np.int64), np.array([groups, slack], np.int64)
+        rows.append((r, d, d - r - 1, need))
+    return np.array(low[:-1], np.int64), np.array(rows, np.int64).T
 
 
 def keys_of(held: np.ndarray, cuts: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, document) of the group keys of shingle sets."""
-    low, (groups, slack) = classes(a, b)
+    """(key, document) of the keys of shingle sets."""
+    low, (differ, groups, slack, least) = classes(a, b)
     size = np.diff(cuts)
-    out_keys, out_docs = [], []
     own = np.searchsorted(low, size, side="right") - 1
     of = np.repeat(np.arange(len(size)), size)
-    for back in (0, 1):
-        cls = own - back
-        use = (size > 0) & (cls >= 0)
-        d = np.where(use, groups[np.maximum(cls, 0)], 0)
-        first = np.concatenate([[0], np.cumsum(d)])
-        at = use[of]
-        h, o = held[at], of[at]
-        with np.errstate(over="ignore"):
-            index = first[o] + ((h >> np.uint64(32)) * d[o].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-            sums, count = np.zeros(first[-1], np.uint64), np.bincount(index, minlength=first[-1])
-            np.add.at(sums, index, mix(h ^ SALT))
-            doc = np.repeat(np.arange(len(size)), d)
-            nth = (np.arange(first[-1]) - first[doc]).astype(np.uint64)
-            tag = mix((cls[doc].astype(np.uint64) << np.uint64(40)) + nth + np.uint64(1))
-            full = count > 0
-            out_keys.append(mix(sums[full] ^ tag[full]))
-            out_docs.append(doc[full])
-            empty = d - np.bincount(doc[full], minlength=len(size))
-            odd = np.flatnonzero(use & (empty > slack[np.maximum(cls, 0)]))
-            out_keys.append(mix(cls[odd].astype(np.uint64) + SALT))
-            out_docs.append(odd)
-    return np.concatenate(out_keys), np.concatenate(out_docs)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    with np.errstate(over="ignore"):
+        mixed = mix(held ^ SALT)
+        total = np.zeros(len(size), np.uint64)
+        np.add.at(total, of, mixed)
+        for back in (0, 1):
+            cls = np.maximum(own - back, 0)
+            use = (size > 0) & (own - back >= 0)
+            tag = mix((cls.astype(np.uint64) << np.uint64(40)) + np.uint64(1))
+            few = use & (groups[cls] == 0)
+            at = np.flatnonzero(few)
+            out.append((mix(total[at] ^ tag[at]), at))
+            one = np.flatnonzero((few & (differ[cls] >= 1))[of])
+            out.append((mix((total[of[one]] - mixed[one]) ^ tag[of[one]]), of[one]))
+            for d in np.flatnonzero(few & (differ[cls] == 2)):
+                m = mixed[cuts[d] : cuts[d + 1]]
+                i, j = np.triu_indices(len(m), 1)
+                out.append((mix((total[d] - m[i] - m[j]) ^ tag[d]), np.full(len(i), d)))
+            rest = use & (groups[cls] > 0)
+            for turn in range(ROUNDS):
+                if not rest.any():
+                    break
+                d = np.where(rest, groups[cls], 0)
+                first = np.concatenate([[0], np.cumsum(d)])
+                at = np.flatnonzero(rest[of])
+                h, o = mix(held[at] + np.uint64(turn) * M), of[at]
+                index = first[o] + ((h >> np.uint64(32)) * d[o].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+                sums, count = np.zeros(first[-1], np.uint64), np.bincount(index, minlength=first[-1])
+                np.add.at(sums, index, mixed[at])
+                doc = np.repeat(np.arange(len(size)), d)
+                nth = (np.arange(first[-1]) - first[doc] + 2).astype(np.uint64) + (np.uint64(turn) << np.uint64(36))
+                full = count >= least[cls][doc]
+                out.append((mix(sums[full] ^ mix((cls[doc[full]].astype(np.uint64) << np.uint64(40)) + nth[full])), doc[full]))
+                rest = rest & (d - np.bincount(doc[full], minlength=len(size)) > slack[cls])
+            odd = np.flatnonzero(rest)
+            out.append((mix(cls[odd].astype(np.uint64) + SALT), odd))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def packed(ids: np.ndarray) -> bytes:
+    """Integers as a base and 32-bit differences where they fit."""
+    base = int(ids.min())
+    if int(ids.max()) - base < 1 << 32:
+        return np.int64(base).tobytes() + b"\0" + (ids - base).astype(np.uint32).tobytes()
+    return np.int64(base).tobytes() + b"\1" + ids.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if data[8]:
+        return np.frombuffer(data[9:], np.int64)
+    return np.frombuffer(data[9:], np.uint32).astype(np.int64) + np.frombuffer(data[:8], np.int64)[0]
 
 
 class Documents:
@@ -112,6 +164,7 @@ EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _send_keys(k: int, a: int, b: int, buckets: int):
+    @light
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         docs = Documents(left, right, k)
         keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -130,7 +183,7 @@ def _send_keys(k: int, a: int, b: int, buckets: int):
         local = np.unique(np.stack([d, lead], 1)[d != lead], axis=0)
         h = h[cuts]
         low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        rows = [(x, key[0].as_py(), blob(low[at]), blob(least[at]), b"") for x, at in split_by(bucket_of(h, buckets))]
+        rows = [(x, key[0].as_py(), blob(low[at]), packed(least[at]), b"") for x, at in split_by(bucket_of(h, buckets))]
         if len(local):
             rows[0] = (*rows[0][:4], blob(local))
         return _batches(rows, KEYS)
@@ -138,9 +191,10 @@ def _send_keys(k: int, a: int, b: int, buckets: int):
     return run
 
 
+@light
 def _link_keys(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     keys = np.concatenate([np.frombuffer(x, np.uint32) for x in column(table, "keys")])
-    least = np.concatenate([np.frombuffer(x, np.int64) for x in column(table, "least")])
+    least = np.concatenate([unpacked(x) for x in column(table, "least")])
     local = np.concatenate([np.frombuffer(x, np.int64) for x in column(table, "edges")]).reshape(-1, 2)
     order = np.argsort(keys, kind="stable")
     keys, least = keys[order], least[order]
@@ -228,6 +282,7 @@ LINK_DDL = "a long, b long, comp long, part int, parts int, data binary"
 
 
 def _join_block(a: int, b: int):
+    @light
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, sets = column(table, "did"), column(table, "data")
         block = Block(ids, sets)
@@ -249,6 +304,7 @@ def _join_block(a: int, b: int):
 
 
 def _join_late(a: int, b: int):
+    @light
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _batches([], EDGES)
@@ -271,33 +327,40 @@ def _join_late(a: int, b: int):
     return run
 
 
-SETS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("comp", pa.int64()), ("hub", pa.bool_()), ("did", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
-SETS_DDL = "kind int, block long, part int, parts int, comp long, hub boolean, did long, th long, n long, data binary"
+SETS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("comp", pa.int64()), ("hub", pa.bool_()), ("did", pa.int64()), ("data", pa.binary())])
+SETS_DDL = "block long, part int, parts int, comp long, hub boolean, did long, data binary"
 
 
 def _send_sets(k: int, blocks: int):
-    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        docs = Documents(left, right, k)
-        live = {d: (c, p, h) for d, c, p, h, kind in zip(column(right, "did"), column(right, "comp"), column(right, "parts"), column(right, "hub"), column(right, "kind"), strict=True) if kind == 1}
-        hashes = column(left, "th")
-        rows = []
-        for own, held, cuts in docs.sets(np.arange(len(docs.ids))):
-            for j, i in enumerate(own.tolist()):
-                did, n = int(docs.ids[i]), int(cuts[j + 1] - cuts[j])
-                rows.append((0, None, None, None, None, None, did, hashes[i], n, None))
-                if n and not docs.copy[i] and did in live:
-                    comp, parts, hub = live[did]
+    def run(batches):
+        for batch in batches:
+            col = batch.column("data")
+            ids, comps, many, hubs = (batch.column(x).to_pylist() for x in ("did", "comp", "parts", "hub"))
+            for b, e in slices([len(x.as_buffer()) for x in col], SLICE):
+                held, cuts = shingle_sets([col[i].as_py() for i in range(b, e)], k)
+                rows = []
+                for j, i in enumerate(range(b, e)):
+                    did, comp, parts, hub = ids[i], comps[i], many[i], hubs[i]
                     data = blob(held[cuts[j] : cuts[j + 1]])
                     with np.errstate(over="ignore"):
                         own_part = int(mix(np.uint64([did & (1 << 64) - 1]))[0] % np.uint64(parts))
                         block = comp if parts > 1 else -1 - int(mix(np.uint64([comp & (1 << 64) - 1]))[0] % np.uint64(blocks))
-                    for part in range(parts) if hub else [own_part]:
-                        rows.append((1, block, part, parts, comp, hub, did, None, n, data))
-        return _batches(rows, SETS)
+                    if data:
+                        rows += [(block, part, parts, comp, hub, did, data) for part in (range(parts) if hub else [own_part])]
+                if rows:
+                    yield from _batches(rows, SETS).to_batches()
 
     return run
 
 
+def n_shingles(text, k: int):
+    """The number of distinct k-word shingles of a text Column, as shingle_sets() has them."""
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    words = F.filter(F.split(low, WHITE_CLASS + "+"), lambda w: w != "")
+    runs = F.transform(F.sequence(F.lit(0), F.size("__words") - k), lambda i: F.xxhash64(*[F.col("__words")[i + j] for j in range(k)]))
+    return words, F.when(F.size("__words") >= k, F.size(F.array_distinct(runs))).otherwise((F.size("__words") > 0).cast("int")).cast("long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, th, n_shingles, component_id) for each row of docs; th: xxhash64 of its text.
 
@@ -311,10 +374,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
     bare = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     groups = group_count(bare)
     place = F.pmod(F.xxhash64("did"), F.lit(groups)).cast("int").alias("g")
-    copies = exact_copies(bare.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))).withColumnRenamed("doc_id", "did")
-    none = {x: F.lit(None).cast(t).alias(x) for x, t in (("comp", "long"), ("parts", "int"), ("hub", "boolean"), ("th", "long"))}
-    noted = copies.select(place, F.lit(0).alias("kind"), "did", "th", none["comp"], none["parts"], none["hub"])
-    dealt = bare.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("th"), F.encode("text", "UTF-8").alias("data")).select(place, "did", "th", "data")
+    copies = stored(exact_copies(bare.where(F.col("text").rlike(WORD))).withColumnRenamed("doc_id", "did"), "copies")
+    noted = copies.select(place, F.lit(0).alias("kind"), "did", "th")
+    hashed = bare.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("th"), F.encode("text", "UTF-8").alias("data"))
+    dealt = hashed.select(place, "did", "th", "data")
     keys = dealt.groupBy("g").cogroup(noted.groupBy("g")).applyInArrow(_send_keys(k, a, b, max(1, groups // 2)), "b long, g int, keys binary, least binary, edges binary")
     edges = stored(keys.groupBy("b").applyInArrow(_link_keys, "a long, b long").distinct(), "candidates")
     candidates = stored(components(edges), "candidate-components")
@@ -325,20 +388,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
     hubs = candidates.join(large, candidates["component"] == large["comp"]).join(degree, "node")
     hubs = hubs.groupBy("comp").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub_node"))
     live = candidates.join(per, candidates["component"] == per["comp"]).join(hubs, "comp", "left")
-    live = live.select(F.col("node").alias("did"), "comp", parts.alias("parts"), F.coalesce(F.col("hub_node") == F.col("node"), F.lit(False)).alias("hub"))
-    told = live.select(place, F.lit(1).alias("kind"), "did", none["th"], "comp", "parts", "hub")
-    blocks = max(1, candidates.count() // PART)
-    sets = dealt.groupBy("g").cogroup(noted.unionByName(told).groupBy("g")).applyInArrow(_send_sets(k, blocks), SETS_DDL)
-    sets = stored(sets, "sets", "kind")
-    rows, members = sets.where("kind = 0").select("did", "th", "n"), sets.where("kind = 1").drop("kind", "th")
+    live = stored(live.select(F.col("node").alias("did"), "comp", parts.alias("parts"), F.coalesce(F.col("hub_node") == F.col("node"), F.lit(False)).alias("hub")), "members")
+    count = live.count()
+    told = F.broadcast(live) if count <= BROADCAST_ROWS else live
+    reread = hashed.join(told, "did").join(copies.select("did", "th").withColumn("copy", F.lit(True)), ["did", "th"], "left").where("copy IS NULL")
+    members = reread.select("did", "comp", "parts", "hub", "data").mapInArrow(_send_sets(k, max(1, count // PART)), SETS_DDL)
     links = stored(members.groupBy("block", "part").applyInArrow(_join_block(a, b), LINK_DDL), "links")
     late = links.where("b IS NULL").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("`to` <> part")
     late = late.select(F.col("comp").alias("block"), F.col("to").alias("part"), F.col("a").alias("did"), "data")
-    spread = members.where("parts > 1").select("block", "part", "did", "data")
-    crossed = spread.groupBy("block", "part").cogroup(late.groupBy("block", "part")).applyInArrow(_join_late(a, b), "a long, b long")
-    found = components(links.where("b IS NOT NULL").select("a", "b").unionByName(crossed).unionByName(copies.select(F.col("did").alias("a"), F.col("rep").alias("b"))))
+    found = links.where("b IS NOT NULL").select("a", "b").unionByName(copies.select(F.col("did").alias("a"), F.col("rep").alias("b")))
+    if not late.isEmpty():
+        spread = reread.where("parts > 1").select("did", "comp", "parts", "hub", "data").mapInArrow(_send_sets(k, 1), SETS_DDL).select("block", "part", "did", "data")
+        found = found.unionByName(spread.groupBy("block", "part").cogroup(late.groupBy("block", "part")).applyInArrow(_join_late(a, b), "a long, b long"))
+    found = components(found)
+    words, number = n_shingles(F.col("text"), k)
+    rows = bare.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("th"), F.col("text").rlike(WORD).alias("said"), words.alias("__words")).withColumn("n", number).drop("__words")
     out = rows.join(found, rows["did"] == found["node"], "left")
-    out = out.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "did")).otherwise(F.col("did")))
+    out = out.withColumn("component", F.when(F.col("said"), F.coalesce("component", "did")).otherwise(F.col("did")))
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(known("did").alias("doc_id"), "th", F.col("n").alias("n_shingles"), known("component").alias("component_id"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard_join, line_dedup, packing, quality, suffix_dedup
-from .common import table
+from .common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,6 +33,9 @@ def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are in no group and stay; rows of one doc_id are one document."""
     found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    gone = stored(gone, "near-copies")
+    if gone.count() <= jaccard_join.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     marked = docs.select(*COLUMNS).withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
     return marked.join(gone, marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__own"] == gone["__th"]), "left_anti").select(*COLUMNS)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix_array
-from .common import NULL_ID, blob, column, exact_copies, group_count, mix, slices
+from .common import NULL_ID, blob, column, exact_copies, group_count, light, mix, slices
 
 GRAM = 24
 SLICE = 1 << 20
@@ -175,6 +175,7 @@ def split_by(bucket: np.ndarray):
 
 
 def _send_hashes(width: int, buckets: int):
+    @light
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left, right, width)
         hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -194,6 +195,7 @@ def _send_hashes(width: int, buckets: int):
     return run
 
 
+@light
 def _answer_hashes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     groups = column(table, "g")
     parts = [np.frombuffer(x, np.uint32) for x in column(table, "data")]
@@ -215,6 +217,7 @@ def _answer_hashes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _send_contexts(width: int, buckets: int, second: int):
+    @light
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left, right, width)
         found = group.contexts(buckets, second)
@@ -233,6 +236,7 @@ def _send_contexts(width: int, buckets: int, second: int):
 
 
 def _answer_contexts(width: int):
+    @light
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         groups, datas = column(table, "g"), column(table, "data")
         sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in column(table, "size")]
@@ -284,6 +288,7 @@ def _answer_contexts(width: int):
 
 
 def _remove(width: int, buckets: int, second: int, schema: pa.Schema, whole: bool):
+    @light
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left, right, width)
         found = group.contexts(buckets, second)
