@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunks, expanded_tokens, found, has, joined_capitals, likeness, tokens, windows
-from .support import metric_support, survey_support
+from .support import metric_support, survey_claim, survey_evidence, survey_support
 
 # fixed values: bonuses, limits and cues of the ranking
 ANCHOR_BONUS, SURVEY_BONUS = 0.25, 0.6
@@ -28,7 +28,7 @@ def build_chunks(sources: DataFrame) -> DataFrame:
     out = out.withColumn("__chunks", chunks(F.col("__text")))
     out = out.select("source_id", "citation_key", "title", "__paged", "__p", F.posexplode("__chunks").alias("__i", "chunk"))
     page = F.when(F.col("__paged"), F.col("__p") + 1)
-    name = F.when(F.col("__paged"), F.concat_ws(":", "source_id", F.concat(F.lit("p"), page), F.col("__i") + 1)).otherwise(F.concat_ws(":", "source_id", F.col("__i") + 1))
+    name = F.when(F.col("__paged"), F.concat_ws(":", "source_id", F.concat(F.lit("p"), page), F.col("__i"))).otherwise(F.concat_ws(":", "source_id", F.col("__i")))
     return out.select("source_id", "citation_key", "title", page.alias("page"), name.alias("chunk_id"), (F.col("__p") * 1_000_000 + F.col("__i")).cast("long").alias("chunk_ord"), "chunk")
 
 
@@ -44,43 +44,35 @@ def unresolved(claims: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     return keys.join(chunk_rows.select("citation_key").distinct(), "citation_key", "left_anti").select("claim_id").distinct()
 
 
-def candidates(claims: DataFrame, chunk_rows: DataFrame, keyless: bool = True) -> DataFrame:
-    """(claim_id, chunk columns, shared tokens and sizes) of the pairs that share a token, by an inverted index.
-
-    Claims with keys meet their sources' chunks only. Claims without keys meet all: tokens are joined on the token, not
-    chunks with claims, and tokens of chunks that no claim has never enter the join."""
-    side = claims.withColumn("claim_tokens", expanded_tokens(F.col("claim")))
-    words = side.select("claim_id", F.size("claim_tokens").alias("n_claim"), F.size("citation_keys").alias("n_keys"), F.explode("claim_tokens").alias("token"), "citation_keys")
-    rows = chunk_rows.withColumn("chunk_tokens", expanded_tokens(F.col("chunk")))
-    index = rows.select("chunk_id", "citation_key", F.size("chunk_tokens").alias("n_chunk"), F.explode("chunk_tokens").alias("token"))
-    keyed = words.where("n_keys > 0").withColumn("citation_key", F.explode(F.array_distinct("citation_keys"))).drop("citation_keys")
-    pairs = keyed.join(index, ["citation_key", "token"])
-    cols = ["claim_id", "chunk_id", "n_claim", "n_chunk"]
-    pairs = pairs.select(*cols)
-    if keyless:
-        pairs = pairs.unionByName(words.where("n_keys = 0").join(index, "token").select(*cols))
-    return pairs.groupBy(*cols).agg(F.count("*").alias("n_shared"))
-
-
 def retrieve(claims: DataFrame, chunk_rows: DataFrame, limit: int = CHUNK_LIMIT) -> DataFrame:
-    """The best chunks of each claim: chunk_score, chunk_rank. Ties go to the earlier chunk.
-
-    claims: claim_id, claim, citation_keys. The rare pair that only survey support admits shares stems, not tokens; it
-    is looked for among the chunks that have the stems."""
-    met = candidates(claims, chunk_rows)
-    text = claims.select("claim_id", "claim", F.col("citation_keys").alias("__keys"))
-    joined = met.join(text.drop("__keys"), "claim_id").join(chunk_rows, "chunk_id")
-    stems = r"(?:utteranc|gentus|simulat)"
-    rare = text.where(has(F.col("claim"), stems)).join(chunk_rows.where(has(F.col("chunk"), stems)), F.expr("size(__keys) = 0 OR array_contains(__keys, citation_key)"))
-    rare = rare.where(survey_support(F.col("claim"), F.col("chunk"))).join(met.select("claim_id", "chunk_id"), ["claim_id", "chunk_id"], "left_anti")
-    rare = rare.select("claim_id", "chunk_id", F.size(expanded_tokens(F.col("claim"))).alias("n_claim"), F.size(expanded_tokens(F.col("chunk"))).alias("n_chunk"), F.lit(0).cast("long").alias("n_shared"), "claim", *[c for c in chunk_rows.columns if c != "chunk_id"])
-    every = joined.unionByName(rare.select(*joined.columns))
-    score = F.col("n_shared") / F.sqrt(F.col("n_claim").cast("double") * F.col("n_chunk"))
-    score = score + ANCHOR_BONUS * F.size(F.array_intersect(anchors(F.col("claim")), expanded_tokens(F.col("chunk"))))
-    score = score + F.when(survey_support(F.col("claim"), F.col("chunk")), F.lit(SURVEY_BONUS)).otherwise(F.lit(0.0))
-    scored = every.withColumn("chunk_score", F.bround(score, 4)).where("chunk_score > 0")
+    """The best chunks of each claim: n_shared, n_claim, n_chunk, chunk_score, chunk_rank. Ties go to the earlier chunk.
+
+    claims: claim_id, claim, citation_keys. An inverted index: claims meet chunks on tokens, on the tokens of their
+    names, and on the survey rules that both sides meet; claims with keys meet their sources' chunks only. Tokens, names
+    and rules are found once for each text, and texts join again only what is ranked."""
+    side = claims.select("claim_id", "citation_keys", expanded_tokens(F.col("claim")).alias("t"), anchors(F.col("claim")).alias("a"), survey_claim(F.col("claim")).alias("s"))
+    rows = chunk_rows.select("chunk_id", "citation_key", expanded_tokens(F.col("chunk")).alias("t"), survey_evidence(F.col("chunk")).alias("s"))
+    index = rows.select("chunk_id", "citation_key", F.size("t").alias("n_chunk"), F.explode("t").alias("on"))
+    rules = rows.select("chunk_id", "citation_key", F.size("t").alias("n_chunk"), F.explode("s").alias("on"))
+    keyed = side.where(F.size("citation_keys") > 0).withColumn("citation_key", F.explode(F.array_distinct("citation_keys")))
+    free = side.where(F.size("citation_keys") == 0)
+    none = F.lit(0).cast("long")
+
+    def met(part, right, shared, names, survey):
+        cols = ["claim_id", "n_claim", F.explode(part).alias("on")]
+        counted = [shared.alias("n_shared"), names.alias("n_names"), survey.alias("n_survey")]
+        pick = lambda df, on: df.withColumn("n_claim", F.size("t")).select(*cols, *[c for c in on if c != "on"]).join(right, on).select("claim_id", "chunk_id", "n_claim", "n_chunk", *counted)
+        return pick(keyed, ["citation_key", "on"]).unionByName(pick(free, ["on"]))
+
+    one = F.lit(1).cast("long")
+    pairs = met("t", index, one, none, none).unionByName(met("a", index, none, one, none)).unionByName(met("s", rules, none, none, one))
+    pairs = pairs.groupBy("claim_id", "chunk_id", "n_claim", "n_chunk").agg(F.sum("n_shared").alias("n_shared"), F.sum("n_names").alias("n_names"), F.max("n_survey").alias("n_survey"))
+    score = F.col("n_shared") / F.sqrt(F.col("n_claim").cast("double") * F.col("n_chunk")) + ANCHOR_BONUS * F.col("n_names") + SURVEY_BONUS * F.col("n_survey")
+    scored = pairs.withColumn("chunk_score", F.bround(score, 4)).where("chunk_score > 0").drop("n_names", "n_survey")
+    scored = scored.join(chunk_rows.select("chunk_id", "source_id", "chunk_ord"), "chunk_id")
     order = Window.partitionBy("claim_id").orderBy(F.desc("chunk_score"), "source_id", "chunk_ord")
-    return scored.withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= limit)
+    best = scored.withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= limit).drop("source_id", "chunk_ord")
+    return best.join(claims.select("claim_id", "claim"), "claim_id").join(chunk_rows, "chunk_id")
 
 
 def identity_holds(claim: Column, window: Column) -> Column:

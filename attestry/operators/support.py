@@ -41,18 +41,36 @@ def dehyphenated(text: Column) -> Column:
     return F.lower(F.regexp_replace(joined_capitals(text), r"(?U)(?<=\w)-\s+(?=\w)", ""))
 
 
-def survey_support(claim: Column, evidence: Column) -> Column:
-    """Compact related-work claims on user models, on one named simulator, and on simulated against real users."""
-    c_text, e_text = dehyphenated(claim), dehyphenated(evidence)
-    c, e = expanded_tokens(c_text), expanded_tokens(e_text)
-    llm = lambda w, t: stem(w, "llm") | t.contains("large language model") | every(w, "language", "models")
-    action = stem(c, "action", "utterance", "predict") & stem(e, "action", "utterance", "predict", "generat") & (stem(e, "goal") | stem(e, "dialogue"))
-    intro = stem(e, "propos") | stem(e, "call") | stem(e, "introduc") | e_text.contains("gentus: simulating")
-    named = F.array_contains(c, "gentus") & F.array_contains(e, "gentus") & stem(c, "simulat", "task") & stem(e, "simulat", "task", "oriented") & intro
+def _llm(w: Column, text: Column) -> Column:
+    return stem(w, "llm") | text.contains("large language model") | every(w, "language", "models")
+
+
+def _rules(*met: Column) -> Column:
+    return F.filter(F.array(*[F.when(m, F.lit(f"rule {i}")) for i, m in enumerate(met)]), lambda x: x.isNotNull())
+
+
+def survey_claim(claim: Column) -> Column:
+    """The rules for compact related-work claims that a claim meets: on user models, on one named simulator, and on
+    simulated against real users."""
+    text = dehyphenated(claim)
+    c = expanded_tokens(text)
+    return _rules(stem(c, "action", "utterance", "predict"), F.array_contains(c, "gentus") & stem(c, "simulat", "task"), _llm(c, text) & stem(c, "simulat", "recommend", "convers"))
+
+
+def survey_evidence(evidence: Column) -> Column:
+    """The rules of survey_claim() that a piece of evidence meets."""
+    text = dehyphenated(evidence)
+    e = expanded_tokens(text)
+    action = stem(e, "action", "utterance", "predict", "generat") & (stem(e, "goal") | stem(e, "dialogue"))
+    intro = stem(e, "propos") | stem(e, "call") | stem(e, "introduc") | text.contains("gentus: simulating")
     apart = stem(e, "discrepanc") | stem(e, "deviation") | stem(e, "distortion")
-    differ = F.when(apart, e_text.contains("real users") | e_text.contains("human behavior")).otherwise(e_text.contains("differ from real users"))
-    simulated = llm(c, c_text) & llm(e, e_text) & stem(c, "simulat", "recommend", "convers") & stem(e, "simulat", "recommend", "convers") & differ
-    return action | named | simulated
+    differ = F.when(apart, text.contains("real users") | text.contains("human behavior")).otherwise(text.contains("differ from real users"))
+    return _rules(action, F.array_contains(e, "gentus") & stem(e, "simulat", "task", "oriented") & intro, _llm(e, text) & stem(e, "simulat", "recommend", "convers") & differ)
+
+
+def survey_support(claim: Column, evidence: Column) -> Column:
+    """Whether both meet one of the rules; the evidence is looked at only if the claim meets any."""
+    return F.when(F.size(survey_claim(claim)) > 0, F.arrays_overlap(survey_claim(claim), survey_evidence(evidence))).otherwise(F.lit(False))
 
 
 def metric_support(claim: Column, evidence: Column) -> Column:
