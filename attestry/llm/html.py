@@ -179,11 +179,24 @@ def unique_runs(pages: list[list[tuple[str, bool]]], hosts: list[str], length: i
             spans.setdefault(key, []).append(i)
     for (i, j), at in spans.items():
         words = out[i][j].split(" ")
-        keep = [w for w, t in zip(words, at, strict=True) if not (covered[t] and (common_inside(common, t, length, inner) if inner[t] else True))]
-        out[i][j] = " ".join(keep)
+        gone = [bool(covered[t]) and (common_inside(common, t, length, inner) if inner[t] else True) for t in at]
+        if not all(gone):
+            gone = long_runs(gone, length)
+        out[i][j] = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
     return [[x for x in p if x] for p in out]
 
 
+def long_runs(flags: list[bool], length: int) -> list[bool]:
+    """flags without runs below length: a block that only begins or ends like its neighbours' boilerplate stays whole."""
+    out, begin = list(flags), 0
+    for i in range(len(flags) + 1):
+        if i == len(flags) or flags[i] != flags[begin]:
+            if flags[begin] and i - begin < length:
+                out[begin:i] = [False] * (i - begin)
+            begin = i
+    return out
+
+
 def common_inside(common: np.ndarray, t: int, length: int, inner: np.ndarray) -> bool:
     """Whether a run that begins inside the main text covers token t; runs from outside leave it alone."""
     window = slice(max(0, t - length + 1), t + 1)
