@@ -17,6 +17,16 @@ from .quantities import before, bound, quantities
 NONE = "array<string>"
 
 
+#: Columns that hold what several rules use, while inspect() builds them: (what, texts) -> Column.
+_held: dict[tuple[str, ...], Column] = {}
+
+
+def held(what: str, build, *texts: Column) -> Column:
+    """The column that holds build(*texts), or the expression itself where none does."""
+    key = (what, *map(str, texts))
+    return _held[key] if key in _held else build(*texts)
+
+
 def none() -> Column:
     return F.array().cast(NONE)
 
@@ -79,15 +89,22 @@ def vocabulary_rule(c: Column, e: Column, groups: dict, open_gate: Column, templ
     return together(*out)
 
 
+def attribute_gate(c, e):
+    return gate(c, e, v.ATTRIBUTE_MASK, 0.67)
+
+
 def attribute(c, e):
-    return vocabulary_rule(c, e, v.ATTRIBUTES, gate(c, e, v.ATTRIBUTE_MASK, 0.67), "{group} conflict: claim says ")
+    return vocabulary_rule(c, e, v.ATTRIBUTES, held("attribute_gate", attribute_gate, c, e), "{group} conflict: claim says ")
 
 
-def technical(c, e):
+def technical_gate(c, e):
     subjects = lambda t: F.filter(words(t), lambda w: w.isin(v.SUBJECTS))
     side = lambda t: F.array_union(masked_words(t, v.TECHNICAL_MASK), subjects(t))
-    open_gate = (overlap(side(c), side(e)) >= 0.67) | (F.size(F.array_intersect(subjects(c), subjects(e))) >= 2)
-    return vocabulary_rule(c, e, v.TECHNICAL, open_gate, "{group} conflict: claim says ")
+    return (overlap(side(c), side(e)) >= 0.67) | (F.size(F.array_intersect(subjects(c), subjects(e))) >= 2)
+
+
+def technical(c, e):
+    return vocabulary_rule(c, e, v.TECHNICAL, held("technical_gate", technical_gate, c, e), "{group} conflict: claim says ")
 
 
 def statistical_gate(c, e):
@@ -99,7 +116,7 @@ def statistical_gate(c, e):
 
 
 def statistical(c, e):
-    return vocabulary_rule(c, e, v.STATISTICS, statistical_gate(c, e), "{group} conflict: claim says ")
+    return vocabulary_rule(c, e, v.STATISTICS, held("statistical_gate", statistical_gate, c, e), "{group} conflict: claim says ")
 
 
 def protocol_gate(c, e):
@@ -107,15 +124,15 @@ def protocol_gate(c, e):
 
 
 def protocol(c, e):
-    return vocabulary_rule(c, e, v.PROTOCOLS, protocol_gate(c, e), "Protocol conflict: {group} claim says ")
+    return vocabulary_rule(c, e, v.PROTOCOLS, held("protocol_gate", protocol_gate, c, e), "Protocol conflict: {group} claim says ")
 
 
 def release(c, e):
-    return say(has(c, v.RELEASED) & has(e, v.NOT_RELEASED) & protocol_gate(c, e), "Release conflict: claim says training code is released while evidence says it is not released.")
+    return say(has(c, v.RELEASED) & has(e, v.NOT_RELEASED) & held("protocol_gate", protocol_gate, c, e), "Release conflict: claim says training code is released while evidence says it is not released.")
 
 
 def target(c, e):
-    return vocabulary_rule(c, e, v.TARGETS, protocol_gate(c, e), "Measurement target tension: {group} claim says ")
+    return vocabulary_rule(c, e, v.TARGETS, held("protocol_gate", protocol_gate, c, e), "Measurement target tension: {group} claim says ")
 
 
 # -- quality words ----------------------------------------------------------------
@@ -142,8 +159,8 @@ def requirement(c, e):
 
 
 def qualitative(c, e):
-    same = quality_gate(c, e)
-    academic = coverage(academic_tokens(c), academic_tokens(e))
+    same = held("quality_gate", quality_gate, c, e)
+    academic = held("academic", lambda x, y: coverage(academic_tokens(x), academic_tokens(y)), c, e)
     named = lambda t, w: has(t, rf"\b{w}\b")
     described = [say(named(c, a) & named(e, b) & same, f"Descriptor conflict: claim says {a} while evidence says {b}.") for x, y in v.DESCRIPTORS for a, b in ((x, y), (y, x))]
     return F.concat(
@@ -159,7 +176,7 @@ def qualitative(c, e):
 
 
 def scope(c, e):
-    return say(has(c, r"\b(all|every|universally)\b") & has(e, r"\b(most|many|some|subset|not\s+all|majority)\b") & quality_gate(c, e), "Scope tension: evidence is narrower than the universal claim.")
+    return say(has(c, r"\b(all|every|universally)\b") & has(e, r"\b(most|many|some|subset|not\s+all|majority)\b") & held("quality_gate", quality_gate, c, e), "Scope tension: evidence is narrower than the universal claim.")
 
 
 # -- outcomes -----------------------------------------------------------------------
@@ -195,12 +212,12 @@ def outcome(c, e):
         out.append(say(both & _unchanged(e, patterns), f"Outcome status conflict: claim asserts a result for {name} while evidence says it is unchanged."))
         if name in v.LOWER_IS_BETTER:
             out.append(say(both & _around(e, patterns, v.HIGHER), f"Lower-is-better outcome conflict: evidence reports higher {name} against an improvement claim."))
-    return F.when(has(c, v.OUTCOME_RESULT) & outcome_gate(c, e), F.concat(*out)).otherwise(none())
+    return F.when(has(c, v.OUTCOME_RESULT) & held("outcome_gate", outcome_gate, c, e), F.concat(*out)).otherwise(none())
 
 
 def mixed_outcome(c, e):
     out = [say(_named(c, p) & _named(e, p) & _around(e, p, v.IMPROVE) & _around(e, p, v.WORSEN), f"Mixed outcome effect: evidence supports {name} in one setting but reports the opposite in another.") for name, p in sorted(v.OUTCOMES.items())]
-    return F.when(has(c, v.OUTCOME_RESULT) & has(e, v.MIXED) & outcome_gate(c, e), F.concat(*out)).otherwise(none())
+    return F.when(has(c, v.OUTCOME_RESULT) & has(e, v.MIXED) & held("outcome_gate", outcome_gate, c, e), F.concat(*out)).otherwise(none())
 
 
 # -- roles and provenance -----------------------------------------------------------
@@ -392,7 +409,7 @@ def negation(c, e):
 
 def direction(c, e):
     way = lambda t: F.when(has(t, v.UP) & ~has(t, v.DOWN), "increased").when(has(t, v.DOWN) & ~has(t, v.UP), "decreased")
-    rest = lambda t: words(F.aggregate(quantities(t), masked(masked(t, v.UP), v.DOWN), lambda s, q: F.replace(s, q["text"], F.lit(" "))))
+    rest = lambda t: words(F.aggregate(held("quantities", quantities, t), masked(masked(t, v.UP), v.DOWN), lambda s, q: F.replace(s, q["text"], F.lit(" "))))
     return say((way(c) != way(e)) & (overlap(rest(c), rest(e)) >= 0.5), "Direction conflict: claim says ", way(c), " while evidence says ", way(e))
 
 
@@ -406,7 +423,7 @@ def compatible(c, e, x, y) -> Column:
 
 
 def numeric(c, e):
-    qc, qe = quantities(c), quantities(e)
+    qc, qe = held("quantities", quantities, c), held("quantities", quantities, e)
     units = F.array_distinct(F.transform(qc, lambda q: q["unit"]))
     of = lambda qs, u: F.filter(qs, lambda q: q["unit"] == u)
     numbers = lambda qs: F.transform(qs, lambda q: q["number"])
@@ -425,7 +442,7 @@ def plain_number(x: Column) -> Column:
 
 
 def unit(c, e):
-    qc, qe = quantities(c), quantities(e)
+    qc, qe = held("quantities", quantities, c), held("quantities", quantities, e)
     numbers = F.array_distinct(F.transform(qc, lambda q: q["number"]))
     units = lambda qs, n: F.array_sort(F.array_distinct(F.transform(F.filter(qs, lambda q: q["number"] == n), lambda q: q["unit"])))
     exempt = F.array(*map(F.lit, v.EXEMPT_UNITS))
@@ -451,12 +468,12 @@ def bounds(text: Column) -> Column:
         strict = ((kind == "lower") & has(head, v.STRICT_LOWER)) | ((kind == "upper") & has(head, v.STRICT_UPPER))
         return F.struct(q["number"].alias("number"), q["unit"].alias("unit"), q["text"].alias("text"), kind.alias("kind"), strict.alias("strict"), F.array_union(words(rest), letters).alias("words"))
 
-    return F.transform(quantities(text), of)
+    return F.transform(held("quantities", quantities, text), of)
 
 
 def _bound_rule(c, e, head: str, test) -> Column:
     near = lambda x, y: (x["unit"] == y["unit"]) & (overlap(x["words"], y["words"]) >= 0.75)
-    return pairs(bounds(c), bounds(e), lambda x, y: near(x, y) & test(x, y), lambda x, y: F.concat(F.lit(head + " for "), x["unit"], F.lit(": claim "), x["text"], F.lit(" vs evidence "), y["text"]))
+    return pairs(held("bounds", bounds, c), held("bounds", bounds, e), lambda x, y: near(x, y) & test(x, y), lambda x, y: F.concat(F.lit(head + " for "), x["unit"], F.lit(": claim "), x["text"], F.lit(" vs evidence "), y["text"]))
 
 
 def bound_conflict(c, e):
@@ -504,8 +521,8 @@ def p_value(c, e):
         apart = (up(x["rel"]) & down(y["rel"]) & (y["number"] >= x["number"])) | (down(x["rel"]) & up(y["rel"]) & (y["number"] <= x["number"]))
         return F.when(y["rel"] == "eq", ~within(y["number"], x)).when(x["rel"] == "eq", ~within(x["number"], y)).otherwise(apart)
 
-    said = pairs(p_values(c), p_values(e), clash, lambda x, y: F.concat(F.lit("P-value conflict: claim says "), x["text"], F.lit(" while evidence says "), y["text"], F.lit(".")))
-    return F.when(statistical_gate(c, e), F.array_distinct(said)).otherwise(none())
+    said = pairs(held("p_values", p_values, c), held("p_values", p_values, e), clash, lambda x, y: F.concat(F.lit("P-value conflict: claim says "), x["text"], F.lit(" while evidence says "), y["text"], F.lit(".")))
+    return F.when(held("statistical_gate", statistical_gate, c, e), F.array_distinct(said)).otherwise(none())
 
 
 def intervals(text: Column, pattern: str, null: float, names: tuple[str, str]) -> Column:
@@ -519,7 +536,7 @@ def interval(c, e):
     claimed = F.when(has(c, r"\bincludes?\s+zero\b"), one("includes zero", "includes zero")).when(has(c, r"\bexcludes?\s+zero\b"), one("excludes zero", "excludes zero")).when(has(c, r"\bnot\s+statistically\s+significant\b"), one("includes zero", "not statistically significant")).when(has(c, r"\bstatistically\s+significant\b"), one("excludes zero", "statistically significant"))
     claimed = F.coalesce(claimed, F.array().cast("array<struct<rel:string,text:string>>"))
     said = pairs(claimed, intervals(e, v.CI_RANGE, 0, ("includes zero", "excludes zero")), lambda x, y: x["rel"] != y["rel"], lambda x, y: F.concat(F.lit("Confidence interval conflict: claim says "), x["text"], F.lit(" while evidence interval "), y["text"], F.lit(" "), y["rel"], F.lit(".")))
-    return F.when(statistical_gate(c, e), F.array_distinct(said)).otherwise(none())
+    return F.when(held("statistical_gate", statistical_gate, c, e), F.array_distinct(said)).otherwise(none())
 
 
 def ratio_effect(c, e):
@@ -540,7 +557,7 @@ def ratio_effect(c, e):
     differ = lambda x, y: x["rel"] != y["rel"]
     metrics = lambda t: F.transform(found(t, v.RATIO), lambda m: squeeze(F.lower(m)))
     said = F.concat(pairs(point, points, differ, message), pairs(null, intervals(e, v.RATIO_CI, 1, ("includes null", "excludes null")), differ, message))
-    return F.when(statistical_gate(c, e) | F.arrays_overlap(metrics(c), metrics(e)), F.array_distinct(said)).otherwise(none())
+    return F.when(held("statistical_gate", statistical_gate, c, e) | F.arrays_overlap(metrics(c), metrics(e)), F.array_distinct(said)).otherwise(none())
 
 
 def slots(text: Column, pattern: str, key, number: int) -> Column:
@@ -648,9 +665,9 @@ def material(text: Column) -> Column:
 
 
 def entity(c, e):
-    covered = coverage(expanded_tokens(c), expanded_tokens(e))
+    covered = held("coverage", lambda x, y: coverage(expanded_tokens(x), expanded_tokens(y)), c, e)
     keys = lambda a: F.transform(a, anchor_key)
-    a, b = material(c), material(e)
+    a, b = held("material", material, c), held("material", material, e)
     missing = F.filter(a, lambda x: ~F.array_contains(keys(b), anchor_key(x)))
     rival = F.filter(b, lambda x: ~F.array_contains(keys(a), anchor_key(x)))
     hit = (covered >= 0.45) & (F.size(a) > 0) & (F.size(b) > 0) & (F.size(missing) > 0) & (F.size(rival) > 0)
@@ -735,9 +752,31 @@ def inspect(pairs_df: DataFrame, claim: str = "claim", evidence: str = "evidence
     out = comparisons(comparisons(pairs_df, claim, "__cx_"), evidence, "__cy_")
     turned, tension = compared("__cx_", "__cy_")
     out = out.withColumns({"__turned": turned, "__mismatch": tension}).drop(*[p + k for p in ("__cx_", "__cy_") for k in COMPARED])
-    names = [f"__l_{n}" for n in CONFLICTS]
-    out = out.withColumns({f"__l_{n}": f(c, e) for n, f in CONFLICTS.items()} | {f"__t_{n}": f(c, e) for n, f in TENSIONS.items()})
-    out = out.withColumns({"__entity": entity(c, e), "__hedged": hedged(c, e), "__narrower": narrower(c, e)})
+    names, kept = [f"__l_{n}" for n in CONFLICTS], []
+
+    def hold(df: DataFrame, **columns) -> DataFrame:
+        """df with what several rules use as columns; they find it under its name."""
+        df = df.withColumns({f"__h_{k}": column for k, (column, _) in columns.items()})
+        for k, (_, key) in columns.items():
+            _held[key] = F.col(f"__h_{k}")
+            kept.append(f"__h_{k}")
+        return df
+
+    sides = (("c", c), ("e", e))
+    per_text = lambda what, build: {f"{what}_{s}": (build(t), (what, str(t))) for s, t in sides}
+    per_pair = lambda what, build: {what: (build(c, e), (what, str(c), str(e)))}
+    try:
+        out = hold(out, **per_text("quantities", quantities), **per_text("material", material), **per_text("p_values", p_values))
+        gates = {"attribute_gate": attribute_gate, "technical_gate": technical_gate, "statistical_gate": statistical_gate, "protocol_gate": protocol_gate, "quality_gate": quality_gate, "outcome_gate": outcome_gate}
+        gates |= {"coverage": lambda x, y: coverage(expanded_tokens(x), expanded_tokens(y)), "academic": lambda x, y: coverage(academic_tokens(x), academic_tokens(y))}
+        parts: dict = {}
+        for what, build in gates.items():
+            parts |= per_pair(what, build)
+        out = hold(out, **per_text("bounds", bounds), **parts)
+        out = out.withColumns({f"__l_{n}": f(c, e) for n, f in CONFLICTS.items()} | {f"__t_{n}": f(c, e) for n, f in TENSIONS.items()} | {"__entity": entity(c, e), "__hedged": hedged(c, e), "__narrower": narrower(c, e)})
+    finally:
+        _held.clear()
+    out = out.drop(*kept)
     out = out.withColumn("__l_direction", F.when(F.size("__mismatch") > 0, none()).otherwise(F.col("__l_direction")))
     out = out.withColumns({"__hard": F.concat(*names, "__turned"), "__soft": F.concat(*[f"__t_{n}" for n in TENSIONS])})
     some = lambda x: F.size(x) > 0

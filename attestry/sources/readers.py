@@ -137,9 +137,9 @@ def external_records(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".jsonl"):
         return spark.read.schema(EXTERNAL).json(path)
     whole = spark.read.text(path, wholetext=True)
-    lists = [F.from_json("value", f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in EXTERNAL.split(', '))}>>")]
     inner = f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in EXTERNAL.split(', '))}>>"
-    lists += [F.from_json("value", f"{name} {inner}")[name] for name in ("data", "claims", "annotations", "examples")]
+    lists = [F.from_json("value", f"{name} {inner}")[name] for name in ("data", "claims", "annotations", "examples")]
+    lists.append(F.from_json("value", inner))
     found = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists])
     return whole.select(F.explode(found).alias("r")).select("r.*")
 
