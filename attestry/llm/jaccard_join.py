@@ -10,9 +10,10 @@ the same D: a document sends keys for its own class and for the one below.
    leader - least leader; members of a group are tied to their leader where they are.
 2. Components of these edges are the candidates; only their members' texts are read again. Small ones are dealt to blocks together; one of more than PART members
    is dealt out over parts, each of which also gets its hub.
-3. In a block an R-tree over the count vectors (tokens per group) leaves out subtrees whose summed coordinate minima
-   cannot reach the overlap needed; what is left is verified on the sets, unless already connected.
-4. Members of a large candidate component that its hub doesn't reach are compared with all its other parts.
+3. Members first send count vectors (tokens per group, more groups for larger sets). In a block an R-tree over them leaves
+   out subtrees whose summed coordinate minima cannot reach the overlap needed; what is left makes smaller components.
+4. Members of those send their sets, and pairs are verified in blocks in the same way, unless already connected.
+   Members of a large candidate component that its hub doesn't reach are compared with all its other parts.
 5. Components of the verified links are the result."""
 
 from __future__ import annotations
@@ -258,6 +259,19 @@ class Block:
             x = self.parent[x]
         return x
 
+    def tokens_of(self, x: int) -> np.ndarray:
+        return self.flat[self.cuts[x] : self.cuts[x + 1]]
+
+    def query(self, data: bytes, a: int, b: int) -> np.ndarray:
+        """The points that a set from elsewhere is linked with."""
+        tokens = np.frombuffer(data, np.uint64)
+        group = ((tokens & np.uint64(0xFFFFFF)) * np.uint64(DIMS) >> np.uint64(24)).astype(np.int64)
+        near = self.tree.near(np.bincount(group, minlength=DIMS), len(tokens), a, b)
+        if not len(near):
+            return near
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return self.linked(at[self.tokens[at] == tokens], len(tokens), near, a, b)
+
     def linked(self, tokens: np.ndarray, size: int, others: np.ndarray, a: int, b: int) -> np.ndarray:
         """Those of the points others that a set is linked with; tokens: its tokens that the block knows."""
         self.mark[tokens] = True
@@ -272,21 +286,79 @@ class Block:
             own = self.find(x)
             near = np.array([y for y in near.tolist() if y > x and self.find(y) != own], np.int64)
             if len(near):
-                for y in self.linked(self.flat[self.cuts[x] : self.cuts[x + 1]], int(self.sizes[x]), near, a, b).tolist():
+                for y in self.linked(self.tokens_of(x), int(self.sizes[x]), near, a, b).tolist():
                     self.parent[self.find(y)] = self.find(x)
         return np.array([self.find(int(p)) for p in self.point], np.int64)
 
 
+def dimensions(size: int) -> int:
+    """Groups of a count vector: enough for chance differences to outgrow those that linked sets may have."""
+    dims = DIMS
+    while dims * 12 < size:
+        dims *= 2
+    return dims
+
+
+def count_vector(tokens: np.ndarray) -> bytes:
+    """The number of tokens, then the tokens in each group; groups of a longer vector lie in those of a shorter one."""
+    dims = dimensions(len(tokens))
+    group = (tokens >> np.uint64(64 - dims.bit_length() + 1)).astype(np.int64)
+    return np.concatenate([[len(tokens)], np.bincount(group, minlength=dims)]).astype(np.uint32).tobytes()
+
+
+def folded(vectors: np.ndarray, dims: int) -> np.ndarray:
+    return vectors.reshape(*vectors.shape[:-1], dims, -1).sum(axis=-1)
+
+
+class Points(Block):
+    """Count vectors instead of sets: what their summed coordinate minima don't rule out counts as linked."""
+
+    def __init__(self, ids: list[int], data: list[bytes]):
+        point: dict[bytes, int] = {}
+        self.ids = np.array(ids, np.int64)
+        self.point = np.array([point.setdefault(x, len(point)) for x in data], np.int64)
+        arrays = [np.frombuffer(x, np.uint32).astype(np.int64) for x in point]
+        self.sizes = np.array([x[0] for x in arrays], np.int64)
+        self.fine = [x[1:] for x in arrays]
+        self.vectors = np.stack([folded(x, DIMS) for x in self.fine]) if arrays else np.zeros((0, DIMS), np.int64)
+        self.tree = RTree(self.vectors, self.sizes) if arrays else None
+        self.parent = list(range(len(arrays)))
+        self.dims = np.array([len(x) for x in self.fine], np.int64)
+        self.row = np.zeros(len(arrays), np.int64)
+        self.levels = {}
+        for d in np.unique(self.dims).tolist():
+            own = np.flatnonzero(self.dims == d)
+            self.row[own] = np.arange(len(own))
+            self.levels[d] = np.stack([self.fine[i] for i in own])
+
+    def tokens_of(self, x: int) -> np.ndarray:
+        return self.fine[x]
+
+    def linked(self, vector: np.ndarray, size: int, others: np.ndarray, a: int, b: int) -> np.ndarray:
+        out = []
+        for d, matrix in self.levels.items():
+            own = others[self.dims[others] == d]
+            if len(own):
+                dims = min(d, len(vector))
+                common = np.minimum(folded(matrix[self.row[own]], dims), folded(vector, dims)).sum(axis=1)
+                out.append(own[common * (a + b) >= a * (size + self.sizes[own])])
+        return np.sort(np.concatenate(out)) if out else others[:0]
+
+    def query(self, data: bytes, a: int, b: int) -> np.ndarray:
+        x = np.frombuffer(data, np.uint32).astype(np.int64)
+        near = self.tree.near(folded(x[1:], DIMS), int(x[0]), a, b)
+        return self.linked(x[1:], int(x[0]), near, a, b) if len(near) else near
+
+
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("comp", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("data", pa.binary())])
 LINK_DDL = "a long, b long, comp long, part int, parts int, data binary"
 
 
-def _join_block(a: int, b: int):
+def _join_block(a: int, b: int, kind):
     @light
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, sets = column(table, "did"), column(table, "data")
-        block = Block(ids, sets)
-        component = block.join(a, b)
+        component = kind(ids, sets).join(a, b)
         rows = []
         least: dict[int, int] = {}
         for i, c in zip(ids, component.tolist(), strict=True):
@@ -303,25 +375,17 @@ def _join_block(a: int, b: int):
     return run
 
 
-def _join_late(a: int, b: int):
+def _join_late(a: int, b: int, kind):
     @light
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _batches([], EDGES)
         ids = column(left, "did")
-        block = Block(ids, column(left, "data"))
+        block = kind(ids, column(left, "data"))
         first = {}
         for i, p in zip(ids, block.point.tolist(), strict=True):
             first.setdefault(p, i)
-        rows = []
-        for i, data in zip(column(right, "did"), column(right, "data"), strict=True):
-            tokens = np.frombuffer(data, np.uint64)
-            group = ((tokens & np.uint64(0xFFFFFF)) * np.uint64(DIMS) >> np.uint64(24)).astype(np.int64)
-            near = block.tree.near(np.bincount(group, minlength=DIMS), len(tokens), a, b)
-            if len(near):
-                at = np.minimum(np.searchsorted(block.tokens, tokens), len(block.tokens) - 1)
-                known = at[block.tokens[at] == tokens]
-                rows += [(i, first[p]) for p in block.linked(known, len(tokens), near, a, b).tolist() if first[p] != i]
+        rows = [(i, first[p]) for i, data in zip(column(right, "did"), column(right, "data"), strict=True) for p in block.query(data, a, b).tolist() if first[p] != i]
         return _batches(rows, EDGES)
 
     return run
@@ -331,7 +395,7 @@ SETS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("parts", pa.int3
 SETS_DDL = "block long, part int, parts int, comp long, hub boolean, did long, data binary"
 
 
-def _send_sets(k: int, blocks: int):
+def _send_sets(k: int, blocks: int, kind):
     def run(batches):
         for batch in batches:
             col = batch.column("data")
@@ -341,7 +405,8 @@ def _send_sets(k: int, blocks: int):
                 rows = []
                 for j, i in enumerate(range(b, e)):
                     did, comp, parts, hub = ids[i], comps[i], many[i], hubs[i]
-                    data = blob(held[cuts[j] : cuts[j + 1]])
+                    data = held[cuts[j] : cuts[j + 1]]
+                    data = b"" if not len(data) else count_vector(data) if kind is Points else blob(data)
                     with np.errstate(over="ignore"):
                         own_part = int(mix(np.uint64([did & (1 << 64) - 1]))[0] % np.uint64(parts))
                         block = comp if parts > 1 else -1 - int(mix(np.uint64([comp & (1 << 64) - 1]))[0] % np.uint64(blocks))
@@ -361,6 +426,32 @@ def n_shingles(text, k: int):
     return words, F.when(F.size("__words") >= k, F.size(F.array_distinct(runs))).otherwise((F.size("__words") > 0).cast("int")).cast("long")
 
 
+def compare(hashed: DataFrame, copies: DataFrame, edges: DataFrame, k: int, a: int, b: int, kind) -> DataFrame:
+    """Links (a, b) among the members of each component of the candidate edges (a, b), by blocks of a kind."""
+    candidates = stored(components(edges), "candidate-components")
+    per = candidates.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("members"))
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    degree = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("degree"))
+    large = per.where(parts > 1)
+    hubs = candidates.join(large, candidates["component"] == large["comp"]).join(degree, "node")
+    hubs = hubs.groupBy("comp").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub_node"))
+    live = candidates.join(per, candidates["component"] == per["comp"]).join(hubs, "comp", "left")
+    live = stored(live.select(F.col("node").alias("did"), "comp", parts.alias("parts"), F.coalesce(F.col("hub_node") == F.col("node"), F.lit(False)).alias("hub")), "members")
+    count = live.count()
+    told = F.broadcast(live) if count <= BROADCAST_ROWS else live
+    reread = hashed.join(told, "did").join(copies.select("did", "th").withColumn("copy", F.lit(True)), ["did", "th"], "left").where("copy IS NULL")
+    reread = reread.select("did", "comp", "parts", "hub", "data")
+    members = reread.mapInArrow(_send_sets(k, max(1, count // PART), kind), SETS_DDL)
+    links = stored(members.groupBy("block", "part").applyInArrow(_join_block(a, b, kind), LINK_DDL), "links")
+    found = links.where("b IS NOT NULL").select("a", "b")
+    late = links.where("b IS NULL").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("`to` <> part")
+    late = late.select(F.col("comp").alias("block"), F.col("to").alias("part"), F.col("a").alias("did"), "data")
+    if not late.isEmpty():
+        spread = reread.where("parts > 1").mapInArrow(_send_sets(k, 1, kind), SETS_DDL).select("block", "part", "did", "data")
+        found = found.unionByName(spread.groupBy("block", "part").cogroup(late.groupBy("block", "part")).applyInArrow(_join_late(a, b, kind), "a long, b long"))
+    return stored(found.distinct(), "found")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, th, n_shingles, component_id) for each row of docs; th: xxhash64 of its text.
 
@@ -380,27 +471,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
     dealt = hashed.select(place, "did", "th", "data")
     keys = dealt.groupBy("g").cogroup(noted.groupBy("g")).applyInArrow(_send_keys(k, a, b, max(1, groups // 2)), "b long, g int, keys binary, least binary, edges binary")
     edges = stored(keys.groupBy("b").applyInArrow(_link_keys, "a long, b long").distinct(), "candidates")
-    candidates = stored(components(edges), "candidate-components")
-    per = candidates.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("members"))
-    parts = F.ceil(F.col("members") / PART).cast("int")
-    degree = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("degree"))
-    large = per.where(parts > 1)
-    hubs = candidates.join(large, candidates["component"] == large["comp"]).join(degree, "node")
-    hubs = hubs.groupBy("comp").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub_node"))
-    live = candidates.join(per, candidates["component"] == per["comp"]).join(hubs, "comp", "left")
-    live = stored(live.select(F.col("node").alias("did"), "comp", parts.alias("parts"), F.coalesce(F.col("hub_node") == F.col("node"), F.lit(False)).alias("hub")), "members")
-    count = live.count()
-    told = F.broadcast(live) if count <= BROADCAST_ROWS else live
-    reread = hashed.join(told, "did").join(copies.select("did", "th").withColumn("copy", F.lit(True)), ["did", "th"], "left").where("copy IS NULL")
-    members = reread.select("did", "comp", "parts", "hub", "data").mapInArrow(_send_sets(k, max(1, count // PART)), SETS_DDL)
-    links = stored(members.groupBy("block", "part").applyInArrow(_join_block(a, b), LINK_DDL), "links")
-    late = links.where("b IS NULL").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("`to` <> part")
-    late = late.select(F.col("comp").alias("block"), F.col("to").alias("part"), F.col("a").alias("did"), "data")
-    found = links.where("b IS NOT NULL").select("a", "b").unionByName(copies.select(F.col("did").alias("a"), F.col("rep").alias("b")))
-    if not late.isEmpty():
-        spread = reread.where("parts > 1").select("did", "comp", "parts", "hub", "data").mapInArrow(_send_sets(k, 1), SETS_DDL).select("block", "part", "did", "data")
-        found = found.unionByName(spread.groupBy("block", "part").cogroup(late.groupBy("block", "part")).applyInArrow(_join_late(a, b), "a long, b long"))
-    found = components(found)
+    near = compare(hashed, copies, edges, k, a, b, Points)
+    links = compare(hashed, copies, near, k, a, b, Block)
+    found = components(links.unionByName(copies.select(F.col("did").alias("a"), F.col("rep").alias("b"))))
     words, number = n_shingles(F.col("text"), k)
     rows = bare.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("th"), F.col("text").rlike(WORD).alias("said"), words.alias("__words")).withColumn("n", number).drop("__words")
     out = rows.join(found, rows["did"] == found["node"], "left")
