@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.boundary import cut
 from ..operators.claims import atoms
 from ..operators.judge import PRIORITY, adjudicate_pairs, combined, judgment, review_action
 from ..operators.retrieval import retrieve, select_windows, unresolved
@@ -18,14 +19,17 @@ def verify(claims: DataFrame, chunks: DataFrame, nli=None) -> DataFrame:
     """A verdict with its trace for each claim (claim_id, claim, citation_keys) against chunks (see build_chunks).
 
     A claim with a key that no chunk has is uncertain, one that retrieves nothing is unsupported; else its atoms are
-    judged against their best windows, the weightiest verdict of an atom counts, and the atoms' verdicts are combined."""
+    judged against their best windows, the weightiest verdict of an atom counts, and the atoms' verdicts are combined.
+    Retrieved chunks, windows and verdicts are each written to the shared folder: the rules make a wide plan, which is so
+    planned once, and a lost executor costs one of the three steps."""
     gate = unresolved(claims, chunks).withColumn("missing", F.lit(True))
-    kept = retrieve(claims.join(gate, "claim_id", "left_anti"), chunks)
+    kept = cut(retrieve(claims.join(gate, "claim_id", "left_anti"), chunks), "retrieved")
     rows = kept.withColumn("__atoms", atoms(F.col("claim"))).select("*", F.posexplode("__atoms").alias("atom_ord", "atom")).drop("__atoms")
     windows = select_windows(rows).select("claim_id", "atom_ord", "atom", "rank", "window", "lexical_score", "source_id", "citation_key", "page")
+    windows = cut(windows, "windows")
     key = ["claim_id", "atom_ord", "rank"]
     judged = adjudicate_pairs(windows.select(*key, F.col("atom").alias("claim"), F.col("window").alias("evidence")), key, nli)
-    judged = windows.join(judged, key)
+    judged = windows.join(cut(judged, "verdicts"), key)
     weight = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
     label = F.col("verdict")["label"]
     rationale = F.struct("rank", "source_id", "citation_key", "page", F.col("window").alias("text"), relation(label).alias("relation"), F.col("lexical_score").alias("score"))
