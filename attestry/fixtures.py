@@ -48,4 +48,8 @@ SQL = {
     "parse_drafts": "SELECT * FROM (VALUES ('d1', 'The planner improves recall on long dialogues.', 'plan'), ('d1', 'The survey began in 2011 across hospitals.', 'survey,plan'), ('d1', 'The parser reads wards.', 'ghost')) t(draft_id, claim, keys)",
     "verify_drafts": "SELECT * FROM (VALUES ('The planner improves recall on long dialogues.', 'supported', CAST(NULL AS VARCHAR), 'passed'), ('The survey began in 2011 across hospitals.', 'contradicted', 'year_conflict', 'passed'), ('The parser reads wards.', 'uncertain', 'source_not_resolved', 'source_not_resolved')) t(claim, label, failure_mode, source_gate)",
     "mutated_cases": "SELECT * FROM (VALUES ('c1::flip', 'c1', 'flip', 'The drug lowers pain.', 'The drug raises pain.', 'contradicted'), ('own', 'c1', 'mutation', 'The drug cures pain.', 'The drug lowers pain.', 'unsupported')) t(id, parent_id, mutation_kind, claim, evidence, expected_label)",
+    "lens_findings": "SELECT pair_id::BIGINT AS pair_id, rule, 1::BIGINT AS n_findings FROM (VALUES (1, 'numeric'), (2, 'year'), (3, 'attribute'), (4, 'negation'), (8, 'hedged'), (9, 'training_config'), (10, 'p_value'), (11, 'mapping'), (12, 'protocol')) t(pair_id, rule)",
+    "quantity_mentions": "SELECT 1::BIGINT AS pair_id, 0::INTEGER AS ord, 40.0::DOUBLE AS number, 'patient' AS unit, '40 patients' AS text",
+    "bibliography_report": "SELECT 4::BIGINT AS occurrences, 3::BIGINT AS cited, 'ghost' AS missing, 'spare' AS unused, '{\"survey\":[\"year\"]}' AS incomplete",
+    "metadata_match": "SELECT * FROM (VALUES ('plan', 'verified', 'VALID', 0.95::DOUBLE), ('spare', 'not_found', 'HALLUCINATED', 0.65::DOUBLE), ('survey', 'not_found', 'HALLUCINATED', 0.65::DOUBLE)) t(bibtex_key, status, label, confidence)",
 }
