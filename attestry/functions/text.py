@@ -117,7 +117,12 @@ def chunks(text: Column, most: int = CHUNK_CHARS) -> Column:
 
 
 def windows(text: Column, radius: int = 1) -> Column:
-    """Each sentence with its neighbours, equal windows once."""
-    s = sentences(text)
-    near = F.transform(s, lambda _, i: F.array_join(F.slice(s, F.greatest(i - radius, F.lit(0)) + 1, F.least(i + radius, F.size(s) - 1) - F.greatest(i - radius, F.lit(0)) + 1), " "))
-    return F.array_distinct(near)
+    """Each sentence with its neighbours, equal windows once.
+
+    The sentences are bound as a lambda's variable: inside another lambda an expression would be made again each time."""
+
+    def near(s):
+        first = lambda i: F.greatest(i - radius, F.lit(0))
+        return F.transform(s, lambda _, i: F.array_join(F.slice(s, first(i) + 1, F.least(i + radius, F.size(s) - 1) - first(i) + 1), " "))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(sentences(text)), near)))
