@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from html import unescape
 
@@ -10,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import blob, column, light, mix, prefix_hash, span_hash, stored
+from .suffix_dedup import _batches, bucket_of, split_by
 
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -136,54 +138,85 @@ def repeated(tokens: np.ndarray, page: np.ndarray, length: int) -> tuple[np.ndar
     return np.where(whole, pages[rank], 0), order
 
 
-def unique_runs(pages: list[list[tuple[str, bool]]], hosts: list[str], length: int, shared: int, many: int, share: float) -> list[list[str]]:
-    """The blocks of each page without the tokens of runs that its host repeats.
-
-    A run of length tokens is boilerplate outside article and main if at least shared distinct pages of the host hold
-    it, and inside them if it is on at least a share of at least many pages: a passage that some articles quote stays."""
-    out = [[x[0] for x in p] for p in pages]
-    number: dict[tuple[str, str], int] = {}
-    flat, of, inside, place = [], [], [], []
-    for i, p in enumerate(pages):
-        for j, (text, main) in enumerate(p):
-            for w in text.split(" "):
-                flat.append(number.setdefault((hosts[i], w), len(number)))
-                of.append(i)
-                inside.append(main)
-                place.append(j)
-    if not flat:
-        return out
-    tokens, page = np.array(flat, np.int64), np.array(of, np.int64)
-    counts, _ = repeated(tokens, page, length)
-    total = {h: hosts.count(h) for h in set(hosts)} if len(set(hosts)) < 64 else None
-    if total is None:
-        total = {}
-        for h in hosts:
-            total[h] = total.get(h, 0) + 1
-    held = np.array([total[h] for h in hosts])[page]
-    common = np.where(np.array(inside), (held >= many) & (counts >= share * held), counts >= shared)
-    common &= counts >= 2
-    if not common.any():
-        return out
-    mark = np.zeros(len(tokens) + 1, np.int64)
-    starts = np.flatnonzero(common)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + length, -1)
-    covered = np.cumsum(mark[:-1]) > 0
-    inner = np.array(inside)
-    changed = sorted({(of[i], place[i]) for i in np.flatnonzero(covered).tolist()})
-    spans: dict[tuple[int, int], list[int]] = {}
-    wanted = set(changed)
-    for i, key in enumerate(zip(of, place, strict=True)):
-        if key in wanted:
-            spans.setdefault(key, []).append(i)
-    for (i, j), at in spans.items():
-        words = out[i][j].split(" ")
-        gone = [bool(covered[t]) and (common_inside(common, t, length, inner) if inner[t] else True) for t in at]
-        if not all(gone):
-            gone = long_runs(gone, length)
-        out[i][j] = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
-    return [[x for x in p if x] for p in out]
+class Group:
+    """The token streams of a group's pages as arrays: a hash of each token, of the run of length tokens from each place
+    and of the run's least gram, in which the host takes part. Runs that cross pages have none."""
+
+    def __init__(self, table: pa.Table, length: int):
+        self.length = length
+        self.texts, self.flags = column(table, "texts"), column(table, "inside")
+        hosts = np.array(column(table, "hh"), np.int64).view(np.uint64)
+        sizes = np.array([len(x) for x in self.texts], np.int64)
+        held = [x.encode() for p in self.texts for x in p]
+        data = np.frombuffer(b" ".join(held) + b" ", np.uint8) if held else np.zeros(0, np.uint8)
+        end = np.flatnonzero(data == 32)
+        begin = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+        starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in held])[:-1]]) if held else np.zeros(0, np.int64)
+        self.block = np.searchsorted(starts, begin, side="right") - 1
+        self.page = np.repeat(np.arange(len(sizes)), sizes)[self.block]
+        self.inside = np.array([m for p in self.flags for m in p], bool)[self.block]
+        host = hosts[self.page]
+        self.tokens = mix(span_hash(prefix_hash(data), begin, end) ^ host)
+        n, gram = len(self.tokens), max(1, length // 2)
+        self.starts = np.flatnonzero(self.page[length - 1 :] == self.page[: n - length + 1]) if n >= length else np.zeros(0, np.int64)
+        prefix = prefix_hash(self.tokens)
+        self.hash = span_hash(prefix, self.starts, self.starts + length)
+        if len(self.starts):
+            at = np.arange(n - gram + 1)
+            grams = span_hash(prefix, at, at + gram)
+            low = np.lib.stride_tricks.sliding_window_view(grams, length - gram + 1).min(axis=1)
+            self.low = low[self.starts]
+        else:
+            self.low = self.hash
+
+    def pages_of(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of the runs at those places and how many pages have each."""
+        page = self.page[self.starts[at]]
+        order = np.lexsort((page, keys))
+        k, p = keys[order], page[order]
+        first = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])])[: len(k)]
+        return np.unique(k[first], return_counts=True)
+
+
+def found_in(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is among the sorted known ones, and where."""
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys, at
+
+
+def without(group: Group, common: np.ndarray) -> list[list[str]]:
+    """The blocks of each page without the tokens of the common runs (one flag for each of group.starts).
+
+    Runs that begin outside the main text leave it alone."""
+    length, n = group.length, len(group.tokens)
+
+    def cover(starts):
+        mark = np.zeros(n + 1, np.int64)
+        mark[starts] = 1
+        mark[starts + length] -= 1
+        return np.cumsum(mark[:-1]) > 0
+
+    starts = group.starts[common]
+    gone = np.where(group.inside, cover(starts[group.inside[starts]]), cover(starts))
+    first = np.flatnonzero(np.concatenate([[True], group.block[1:] != group.block[:-1]])[:n])
+    last = np.append(first[1:], n)
+    touched = set(group.block[gone].tolist())
+    out, block = [], 0
+    for page in group.texts:
+        kept = []
+        for text in page:
+            if block in touched:
+                flags = gone[first[block] : last[block]].tolist()
+                if not all(flags):
+                    flags = long_runs(flags, length)
+                text = " ".join(w for w, g in zip(text.split(" "), flags, strict=True) if not g)
+            if text:
+                kept.append(text)
+            block += 1
+        out.append(kept)
+    return out
 
 
 def long_runs(flags: list[bool], length: int) -> list[bool]:
@@ -197,13 +230,7 @@ def long_runs(flags: list[bool], length: int) -> list[bool]:
     return out
 
 
-def common_inside(common: np.ndarray, t: int, length: int, inner: np.ndarray) -> bool:
-    """Whether a run that begins inside the main text covers token t; runs from outside leave it alone."""
-    window = slice(max(0, t - length + 1), t + 1)
-    return bool((common[window] & inner[window]).any())
-
-
-#: Hosts of more pages than a group are broadcast up to so many; more are joined by a shuffle.
+#: Hosts are broadcast up to so many; more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 PARSED = "page_id long, url string, host string, texts array<string>, inside array<boolean>"
 
@@ -229,29 +256,128 @@ def host_of():
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
+ANSWER_DDL = "g long, kind int, keys binary, counts binary"
+ANSWERS = pa.schema([("g", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+SENT_DDL = "b long, g long, keys binary, counts binary"
+SENT = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def answers(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the answers of a kind, by ascending key."""
+    rows = [(k, c) for k, c, x in zip(column(table, "keys"), column(table, "counts"), column(table, "kind"), strict=True) if x == kind]
+    keys = np.frombuffer(b"".join(k for k, _ in rows), np.uint64)
+    counts = np.frombuffer(b"".join(c for _, c in rows), np.uint32)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], counts[order]
+
+
+def _send(g: int, keys: np.ndarray, counts: np.ndarray, buckets: int, short: bool) -> pa.Table:
+    """A row for each bucket; short: 32 bits of each key below those that name the bucket."""
+    rows = []
+    for b, at in split_by(bucket_of(keys, buckets)):
+        rows.append((b, g, blob((keys[at] & LOW32).astype(np.uint32) if short else keys[at]), blob(np.minimum(counts[at], 65535).astype(np.uint16) if short else counts[at].astype(np.uint32))))
+    return _batches(rows, SENT)
+
+
+LOW32 = np.uint64(0xFFFFFFFF)
+
+
+def _answer(kind: int, least: int, short: bool):
+    """Sums the counts of each key over all parts; those of at least least pages go back to the parts that have them.
+
+    Short keys go back as they came, above them the bucket's number."""
+
+    @light
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint32 if short else np.uint64) for x in column(table, "keys")]
+        counts = np.concatenate([np.frombuffer(x, np.uint16 if short else np.uint32) for x in column(table, "counts")]).astype(np.int64)
+        known, of = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(of, weights=counts, minlength=len(known)).astype(np.int64)
+        enough = total >= min(least, 65535) if short else total >= least
+        known, total = known[enough], total[enough]
+        rows = []
+        for g, part in zip(column(table, "g"), parts, strict=True):
+            hit, at = found_in(part, known)
+            if hit.any():
+                keys = part[hit].astype(np.uint64)
+                if short:
+                    keys |= np.uint64(key[0].as_py()) << np.uint64(32)
+                rows.append((g, kind, blob(keys), blob(total[at[hit]].astype(np.uint32))))
+        return _batches(rows, ANSWERS)
+
+    return run
+
+
+def _send_grams(length: int, buckets: int):
+    @light
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        group = Group(table, length)
+        page = group.page[group.starts]
+        new = np.flatnonzero(np.concatenate([[True], (group.low[1:] != group.low[:-1]) | (page[1:] != page[:-1])])[: len(page)])
+        return _send(key[0].as_py(), *group.pages_of(group.low[new], new), buckets, True)
+
+    return run
+
+
+def _send_runs(length: int, buckets: int):
+    @light
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        group = Group(left, length)
+        known, _ = answers(right, 1)
+        hit, _ = found_in(bucket_of(group.low, buckets).astype(np.uint64) << np.uint64(32) | group.low & LOW32, known)
+        if not hit.any():
+            return _batches([], SENT)
+        _, numbers = np.unique(group.tokens, return_inverse=True)
+        counts, _ = repeated(numbers, group.page, length)
+        keys, first = np.unique(group.hash[hit], return_index=True)
+        return _send(key[0].as_py(), keys, counts[group.starts[hit][first]], buckets, False)
+
+    return run
+
+
+def _remove(length: int, shared: int, many: int, share: float):
+    @light
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        group = Group(left, length)
+        known, total = answers(right, 2)
+        hit, at = found_in(group.hash, known)
+        counts = np.where(hit, total[at], 0) if len(known) else np.zeros(len(hit), np.int64)
+        held = np.array(column(left, "n"), np.int64)[group.page[group.starts]]
+        common = np.where(group.inside[group.starts], (held >= many) & (counts >= share * held), counts >= shared) & (counts >= 2)
+        found = ["\n".join(x) for x in without(group, common)]
+        return pa.Table.from_arrays([left.column("page_id"), left.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
 def main_text(pages: DataFrame, length: int = 12, shared: int = 3, many: int = 20, share: float = 0.8, group: int = 256) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html).
 
     Hosts are counted, then dealt out: a host of more than group pages over several groups by page_id, small hosts
-    together, a host's tokens being its own. Pages with an article or main element are those elements' text; on others
-    all text that isn't set apart counts. Runs that a host repeats go (see unique_runs). Null html: empty text; a null
-    or odd url is a host of its own name ''. Repeated rows are pages of their own. Empty table: empty result."""
+    together. Pages with an article or main element are those elements' text; on others all text that isn't set apart
+    counts. A run of length tokens is boilerplate outside article and main if at least shared pages of the whole host
+    hold it, and inside them if it is on at least a share of at least many pages: a passage that some articles quote
+    stays. Null html: empty text; a null or odd url is a host of its own name ''. Repeated rows are pages of their own.
+    Empty table: empty result.
+
+    Groups count pages, buckets of hashes add the groups' counts up, so a run's count never depends on how a host is
+    dealt. First the least gram of each run is counted, by which few runs are left; their 64-bit hashes follow."""
     host = host_of()
     per = pages.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
     groups = max(1, pages.count() // group)
-    large = stored(per.where(F.col("n") > group).select("host", F.ceil(F.col("n") / group).cast("int").alias("parts")), "large-hosts")
-    if large.count() <= BROADCAST_HOSTS:
-        large = F.broadcast(large)
-    dealt = parse(pages).join(large, "host", "left").withColumn("g", F.pmod(F.when(F.col("parts") > 1, F.xxhash64("host", F.pmod(F.xxhash64("page_id"), F.col("parts")))).otherwise(F.xxhash64("host")), F.lit(groups)))
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        pages_of = []
-        for texts, inside in zip(table.column("texts").to_pylist(), table.column("inside").to_pylist(), strict=True):
-            pages_of.append(list(zip(texts or [], inside or [], strict=True)))
-        found = ["\n".join(x) for x in unique_runs(pages_of, table.column("host").to_pylist(), length, shared, many, share)]
-        return pa.Table.from_arrays([table.column("page_id"), table.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return dealt.select("g", "page_id", "url", "host", "texts", "inside").groupBy("g").applyInArrow(run, "page_id long, url string, text string, n_chars long")
+    per = stored(per.select("host", "n", F.ceil(F.col("n") / group).cast("int").alias("parts")), "hosts")
+    if per.count() <= BROADCAST_HOSTS:
+        per = F.broadcast(per)
+    part = F.when(F.col("parts") > 1, F.xxhash64("host", F.pmod(F.xxhash64("page_id"), F.col("parts")))).otherwise(F.xxhash64("host"))
+    dealt = parse(pages).join(per, "host").select(F.pmod(part, F.lit(groups)).alias("g"), "page_id", "url", F.xxhash64("host").alias("hh"), "n", "texts", "inside")
+    least = max(2, min(shared, math.ceil(share * many)))
+    grams = dealt.groupBy("g").applyInArrow(_send_grams(length, groups), SENT_DDL).groupBy("b").applyInArrow(_answer(1, least, True), ANSWER_DDL)
+
+    def meet(function, schema, table):
+        return dealt.groupBy("g").cogroup(table.groupBy("g")).applyInArrow(function, schema)
+
+    runs = meet(_send_runs(length, groups), SENT_DDL, grams).groupBy("b").applyInArrow(_answer(2, least, False), ANSWER_DDL)
+    return meet(_remove(length, shared, many, share), "page_id long, url string, text string, n_chars long", runs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -351,6 +351,14 @@ def test_host_boilerplate(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_large_host_counts_whole(spark):
+    notice = "this notice is on only three pages of the host but it goes from all of them"
+    rows = [(i, "http://h.example/", f"<div>story {i} " + " ".join(f"w{i}x{j}" for j in range(40)) + "</div>" + (f"<div>{notice}</div>" if i in (1, 20, 39) else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    dealt, whole = (sorted(html.main_text(df, group=g).collect()) for g in (4, 256))
+    assert dealt == whole and not any(notice in r["text"] for r in dealt) and all(f"story {r['page_id']} " in r["text"] for r in dealt)
+
+
 def test_shared_passages_in_articles_stay(spark):
     passage = "a passage that several articles of one host quote word for word as it is"
     rows = [(i, "http://h.example/", f"<article><p>{passage}</p><p>own {i}</p></article>") for i in range(5)]
