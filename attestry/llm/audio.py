@@ -104,37 +104,40 @@ def fingerprints(media: DataFrame, id_col: str, column: str, rendered: bool = Fa
 
 
 def _keys(batches):
-    """A row for each distinct pair of neighbouring codes, with its first place."""
+    """A row for each place of each code; of a run of equal codes its first and its last place."""
     for batch in batches:
-        ids, keys, places = [], [], []
+        ids, keys, places, sizes = [], [], [], []
         for i, x in zip(batch.column("id").to_pylist(), batch.column("codes"), strict=True):
-            codes = np.frombuffer(x.as_py() or b"", "<u4").astype(np.uint64)
-            if len(codes) > 1:
-                pair, at = np.unique((codes[:-1] << np.uint64(32)) | codes[1:], return_index=True)
-                ids.append(np.full(len(pair), i, np.int64))
-                keys.append(pair.view(np.int64))
+            codes = np.frombuffer(x.as_py() or b"", "<u4")
+            if len(codes):
+                new = np.concatenate([[True], codes[1:] != codes[:-1]])
+                at = np.flatnonzero(new | np.append(new[1:], True))
+                ids.append(np.full(len(at), i, np.int64))
+                keys.append(codes[at].view(np.int32))
                 places.append(at.astype(np.int32))
+                sizes.append(np.full(len(at), len(codes), np.int32))
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["id", "key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))], ["id", "key", "at", "size"])
 
 
-def align(prints: DataFrame, every: int = 20, votes: int = 3, errors: float = 0.2, overlap: int = 32) -> DataFrame:
+def align(prints: DataFrame, every: int = 20, errors: float = 0.2, overlap: int = 32) -> DataFrame:
     """prints with is_query, n_matches, best_match, best_offset and best_errors.
 
     Queries are the rows whose id is divisible by every, against all rows. Recordings with equal codes are one; distinct
-    ones that share pairs of codes vote for an offset, the offset histogram's peak (at least votes; ties: the smaller
-    offset) is verified by the bit errors over the overlap: a match has at most errors over at least overlap codes.
+    ones are compared at each offset (of at least overlap codes in common) that puts a code beside an equal one (in a run of equal codes, its ends): a match
+    has at most errors different bits there, and counts at the offset of least errors, then the longest overlap, then
+    the smaller offset. Matches without a single equal code are not found.
     n_matches counts all other recordings matched, copies included; best_match is that of least errors, then least id.
     Rows with a null id or no codes match nothing. Empty table: empty result."""
     whole = prints.withColumn("fp", F.sha2("codes", 256))
     groups = whole.where("n_codes > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max((F.col("id") % every == 0).cast("int")).alias("asked"), F.max("id").alias("last"))
     reps = stored(whole.join(groups.select("fp", "rep", "asked", "copies"), "fp").where("id = rep").dropDuplicates(["id"]).select("id", "codes", "asked", "copies"), "recordings")
-    keys = reps.select("id", "codes").mapInArrow(_keys, "id long, key long, at int")
-    asked = reps.where("asked = 1").select("id", "codes").mapInArrow(_keys, "id long, key long, at int").select(F.col("id").alias("q"), "key", F.col("at").alias("q_at"))
-    pairs = asked.join(keys, "key").where("q <> id")
-    peaks = pairs.groupBy("q", "id", (F.col("q_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("n"))
-    peaks = peaks.groupBy("q", "id").agg(F.max("n").alias("n"), F.max_by("offset", F.struct("n", -F.col("offset"))).alias("offset")).where(F.col("n") >= votes)
-    sides = peaks.join(reps.select("id", F.col("codes").alias("b"), "copies"), "id").join(reps.select(F.col("id").alias("q"), F.col("codes").alias("a")), "q")
+    keys = reps.select("id", "codes").mapInArrow(_keys, "id long, key int, at int, size int")
+    asked = reps.where("asked = 1").select("id", "codes").mapInArrow(_keys, "id long, key int, at int, size int").select(F.col("id").alias("q"), "key", F.col("at").alias("q_at"), F.col("size").alias("q_size"))
+    pairs = asked.join(keys, "key").where("q <> id").select("q", "id", (F.col("q_at") - F.col("at")).alias("offset"), "q_size", "size")
+    pairs = pairs.where(F.least(F.col("q_size") - F.greatest("offset", F.lit(0)), F.col("size") + F.least("offset", F.lit(0))) >= overlap).select("q", "id", "offset")
+    places = pairs.repartition("id").dropDuplicates(["q", "id", "offset"])
+    sides = places.join(reps.select("id", F.col("codes").alias("b"), "copies"), "id").join(reps.where("asked = 1").select(F.col("id").alias("q"), F.col("codes").alias("a")), "q")
 
     def verify(batches):
         for batch in batches:
@@ -143,6 +146,7 @@ def align(prints: DataFrame, every: int = 20, votes: int = 3, errors: float = 0.
 
     matches = sides.select("q", "id", "copies", "offset", "a", "b").mapInArrow(verify, "q long, id long, copies long, offset int, errors double, overlap long")
     matches = matches.where((F.col("errors") <= errors) & (F.col("overlap") >= overlap))
+    matches = matches.groupBy("q", "id").agg(F.first("copies").alias("copies"), F.min_by(F.struct("offset", "errors"), F.struct("errors", -F.col("overlap"), "offset")).alias("at")).select("q", "id", "copies", "at.*")
     best = matches.groupBy(F.col("q").alias("rep")).agg(F.sum("copies").alias("others"), F.min_by(F.struct("id", "offset", "errors"), F.struct("errors", "id")).alias("near"))
     out = whole.join(groups.select("fp", "rep", "copies", "last"), "fp", "left").join(best, "rep", "left")
     query_row = (F.col("id") % every == 0) & F.col("rep").isNotNull()

@@ -399,6 +399,30 @@ def test_audio(spark):
     assert np.array_equal(np.frombuffer(bytes(rendered[0]["codes"]), "<u4"), a) and rendered[1]["n_codes"] == 0
 
 
+def test_audio_recall(spark):
+    """Against bit errors at every offset: a tenth of all bits differ, shifted; and the later copy of a passage."""
+    rng = np.random.default_rng(8)
+    prints = {}
+    for i in range(20):
+        a = rng.integers(0, 1 << 32, 160, dtype=np.uint32)
+        flips = (rng.random((160, 32)) < 0.1) @ (1 << np.arange(32, dtype=np.uint64))
+        prints[20 * i], prints[20 * i + 1] = a, (a ^ flips.astype(np.uint32))[7:]
+    x, y, z = (rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (40, 30, 35))
+    prints[1000], prints[1001] = np.concatenate([x, z]), np.concatenate([x, y, x, z])
+    prints[1020], prints[1021] = np.full(50, 9, np.uint32), np.full(60, 9, np.uint32)
+    rows = [(i, len(c), c.astype("<u4").tobytes()) for i, c in prints.items()]
+    got = {r["id"]: r for r in audio.align(spark.createDataFrame(rows, "id long, n_codes long, codes binary")).collect()}
+    true = set()
+    for q in prints:
+        for i in prints:
+            a, b = prints[q], prints[i]
+            if q % 20 == 0 and q != i and any(e <= 0.2 and n >= 32 for e, n in (audio.bit_errors(a, b, o) for o in range(32 - len(b), len(a) - 31))):
+                true.add((q, i))
+    found = {(q, r["best_match"]) for q, r in got.items() if r["best_match"] is not None}
+    assert len(true) == 22 and found <= true and len(found) >= 0.9 * len(true)
+    assert got[1000]["best_offset"] == -70 and got[1000]["best_errors"] == 0.0 and got[1020]["best_match"] == 1021
+
+
 # -- pipeline --------------------------------------------------------------------------
 
 
