@@ -17,9 +17,11 @@ from .suffix_dedup import _batches, bucket_of, split_by
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements whose text is none.
-RAW = frozenset("script style noscript template svg math iframe object textarea title canvas audio video".split())
+RAW = frozenset("script style noscript template svg iframe object textarea title canvas audio video".split())
 #: Elements that are not main text, whatever they hold.
 ASIDE = frozenset("head nav header footer aside form button select dialog menu".split())
+#: Those of them that stay apart when they hold an article or main.
+TANGENT = ASIDE - {"form", "dialog"}
 MAIN = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -31,14 +33,16 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 def set_apart(name: str, attributes: str) -> bool:
+    """Whether the element isn't main text by its kind, or by a class, id, role or label made of MARKS alone."""
     if name in ASIDE:
         return True
     if name in ("html", "body") or name in MAIN or not attributes:
         return False
     for m in NAMED.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        if any(w.lower() in MARKS for w in WORD.findall(value)):
-            return True
+        for one in (m[1] or m[2] or m[3] or "").split():
+            words = WORD.findall(one)
+            if words and all(w.lower() in MARKS for w in words):
+                return True
     return bool(re.search(r"\shidden(?:\s|=|$)|display\s*:\s*none", attributes))
 
 
@@ -97,6 +101,9 @@ def blocks(html: str, everything: bool = False) -> list[tuple[str, bool]]:
             while stack and name in CLOSED_BY.get(stack[-1][0], ()):
                 pop()
             a, is_main = (not everything) and set_apart(name, attributes), name in MAIN
+            if is_main and apart and not main and not any(x[1] and x[0] in TANGENT for x in stack):
+                stack = [(x[0], False, x[2]) for x in stack]  # what holds the main text isn't apart, whatever its name
+                apart = 0
             stack.append((name, a, is_main))
             apart += a
             main += is_main

@@ -336,6 +336,13 @@ def test_blocks():
     assert ("Menu", False) in html.blocks(PAGE, everything=True)
 
 
+def test_marked_wrappers_keep_articles():
+    for mark in ('class="content-sidebar-wrap"', 'class="has-sidebar"', "class=no-sidebar", 'id="widget"'):
+        assert html.blocks(f"<div {mark}><p>side</p><article><p>x <math><mi>y</mi></math></p></article></div>")[-1] == ("x y", True)
+    assert html.blocks("<form><main>text</main></form>") == [("text", True)]
+    assert html.blocks('<div class="sidebar cookie-notice">a</div><aside><article>b</article></aside><p>c') == [("c", False)]
+
+
 def test_repeated_runs():
     tokens = [1, 2, 3, 9, 1, 2, 3, 8, 1, 2, 3, 7, 5, 6]
     counts, _ = html.repeated(np.array(tokens), np.array([0] * 4 + [1] * 4 + [2] * 6), 3)
