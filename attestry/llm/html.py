@@ -342,7 +342,7 @@ def _send_runs(length: int, buckets: int):
     return run
 
 
-def _remove(length: int, shared: int, many: int, share: float):
+def _remove(length: int, shared: int, many: int, share: float, outside: float):
     @light
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left, length)
@@ -350,20 +350,20 @@ def _remove(length: int, shared: int, many: int, share: float):
         hit, at = found_in(group.hash, known)
         counts = np.where(hit, total[at], 0) if len(known) else np.zeros(len(hit), np.int64)
         held = np.array(column(left, "n"), np.int64)[group.page[group.starts]]
-        common = np.where(group.inside[group.starts], (held >= many) & (counts >= share * held), counts >= shared) & (counts >= 2)
+        common = np.where(group.inside[group.starts], (held >= many) & (counts >= share * held), (counts >= shared) & (counts >= outside * held)) & (counts >= 2)
         found = ["\n".join(x) for x in without(group, common)]
         return pa.Table.from_arrays([left.column("page_id"), left.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-def main_text(pages: DataFrame, length: int = 12, shared: int = 3, many: int = 20, share: float = 0.8, group: int = 256) -> DataFrame:
+def main_text(pages: DataFrame, length: int = 12, shared: int = 3, many: int = 20, share: float = 0.8, group: int = 256, outside: float = 0.05) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html).
 
     Hosts are counted, then dealt out: a host of more than group pages over several groups by page_id, small hosts
     together. Pages with an article or main element are those elements' text; on others all text that isn't set apart
     counts. A run of length tokens is boilerplate outside article and main if at least shared pages of the whole host
-    hold it, and inside them if it is on at least a share of at least many pages: a passage that some articles quote
+    hold it and they are a share of outside of its pages, and inside them if it is on at least a share of at least many pages: a passage that some articles quote
     stays. Null html: empty text; a null or odd url is a host of its own name ''. Repeated rows are pages of their own.
     Empty table: empty result.
 
@@ -384,7 +384,7 @@ def main_text(pages: DataFrame, length: int = 12, shared: int = 3, many: int = 2
         return dealt.groupBy("g").cogroup(table.groupBy("g")).applyInArrow(function, schema)
 
     runs = meet(_send_runs(length, groups), SENT_DDL, grams).groupBy("b").applyInArrow(_answer(2, least, False), ANSWER_DDL)
-    return meet(_remove(length, shared, many, share), "page_id long, url string, text string, n_chars long", runs)
+    return meet(_remove(length, shared, many, share, outside), "page_id long, url string, text string, n_chars long", runs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

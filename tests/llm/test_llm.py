@@ -366,6 +366,13 @@ def test_large_host_counts_whole(spark):
     assert dealt == whole and not any(notice in r["text"] for r in dealt) and all(f"story {r['page_id']} " in r["text"] for r in dealt)
 
 
+def test_few_copies_outside_articles_stay(spark):
+    story = " ".join(f"word{j}" for j in range(40))
+    rows = [(i, "http://h.example/", f"<div>{story if i < 3 else ' '.join(f'w{i}x{j}' for j in range(40))}</div>") for i in range(100)]
+    out = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), group=16).collect()
+    assert len(out) == 100 and all(r["text"] == story for r in out if r["page_id"] < 3)
+
+
 def test_shared_passages_in_articles_stay(spark):
     passage = "a passage that several articles of one host quote word for word as it is"
     rows = [(i, "http://h.example/", f"<article><p>{passage}</p><p>own {i}</p></article>") for i in range(5)]
