@@ -1,19 +1,22 @@
 """Jaccard self-join of shingle sets: groups of tokens select, an R-tree over count vectors bounds, sets verify.
 
 Two sets x, y with Jaccard similarity of at least a/b differ in at most r = floor(min(|x|, |y|) (b - a) / a) tokens. So
-of D > r groups that tokens are hashed into, D - r hold the same tokens in both. Each document sends a key for each of
-its groups, made of the group's tokens; linked documents share a key. D leaves room for groups that are empty in both;
-the few documents with more empty groups than that share a key made for them. Size classes see to it that both sides use
-the same D: a document sends keys for its own class and for the one below.
-
-1. Groups of documents send each bucket their distinct keys with one leader each; buckets answer nothing but emit edges
-   leader - least leader; members of a group are tied to their leader where they are.
-2. Components of these edges are the candidates; only their members' texts are read again. Small ones are dealt to blocks together; one of more than PART members
-   is dealt out over parts, each of which also gets its hub.
+of n groups of tokens that a set sends a key for, made of the group's tokens, linked sets share all but r. In any order
+of all keys their first common key is therefore among the first r + 1 keys of both. The order is by frequency: keys of
+passages that many documents hold come last and select nothing. D leaves room for groups that are empty or too light;
+the few documents with more of them than that are dealt again and then share a key made for them. Size classes see to it
+that both sides use the same D: a document sends keys for its own class and for the one below.
+
+1. Groups of documents send each bucket their distinct keys; it answers with those of several documents and how many.
+   Groups send those among a document's first r + 1 once more, with one leader each; buckets emit edges leader - least
+   leader; members of a group are tied to their leader where they are.
+2. Components of these edges are the candidates; only their members' texts are read again. Small ones are dealt to blocks
+   together; one of more than PART members is dealt out over parts, each of which also gets HUBS of them.
 3. Members first send count vectors (tokens per group, more groups for larger sets). In a block an R-tree over them leaves
    out subtrees whose summed coordinate minima cannot reach the overlap needed; what is left makes smaller components.
 4. Members of those send their sets, and pairs are verified in blocks in the same way, unless already connected.
-   Members of a large candidate component that its hub doesn't reach are compared with all its other parts.
+   Members of a large candidate component that its first hub doesn't reach, through other hubs and members of their
+   part, are compared with all its other parts.
 5. Components of the verified links are the result."""
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ from .suffix_dedup import _batches, bucket_of, split_by
 
 SLICE = 1 << 20
 WORD = r"[^\x20\x09-\x0D]"
-PART = 512
+PART = 2048
+#: A component of more members is dealt out over parts; so many of its members go to all of them.
+HUBS = 16
 DIMS = 32
 FANOUT = 16
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -47,6 +52,10 @@ BROADCAST_ROWS = 500_000
 
 #: Rounds of groups: a set with too many light groups is dealt again by another hash.
 ROUNDS = 4
+#: A set should have so many times the r + 1 keys that it needs, so that its most frequent ones select nothing.
+SPARE = 1.75
+#: Stands for r + 1 where a set's keys select by any one of them.
+EVERY = 1 << 30
 
 
 def too_light(l: int, r: int, d: int, need: int) -> float:
@@ -64,6 +73,17 @@ def classes(a: int, b: int, largest: int = 1 << 31) -> tuple[np.ndarray, np.ndar
 
     Sizes that can be linked are in one class or in neighbouring ones. D is 0 where sets differ in so few tokens that
     they send keys of what is left without them instead."""
+
+    def groups(l: int, u: int, r: int) -> tuple[int, int] | None:
+        for spare in (SPARE, 0):
+            for need, most in ((2, 0.6 * l), (1, 4 * u)) if l >= TWO_FROM else ((1, 4 * u),):
+                d = r + 2
+                while d < most and (too_light(l, r, d, need) > 0.02 or d * (1 - math.exp(-l / d) * (1 + l / d * (need - 1))) < spare * (r + 1)):
+                    d += max(1, d // 64)
+                if d < most:
+                    return d, need
+        return d, need
+
     low, rows = [1], []
     while low[-1] <= largest:
         l = low[-1]
@@ -73,40 +93,44 @@ def classes(a: int, b: int, largest: int = 1 << 31) -> tuple[np.ndarray, np.ndar
         if r <= 1 or (r == 2 and u <= 12):
             rows.append((r, 0, 0, 0))
             continue
-        for need, most in ((2, 0.6 * l), (1, 4 * u)) if l >= TWO_FROM else ((1, 4 * u),):
-            d = r + 2
-            while d < most and too_light(l, r, d, need) > 0.02:
-                d += max(1, d // 64)
-            if d < most:
-                break
+        d, need = groups(l, u, r)
         rows.append((r, d, d - r - 1, need))
     return np.array(low[:-1], np.int64), np.array(rows, np.int64).T
 
 
-def keys_of(held: np.ndarray, cuts: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, document) of the keys of shingle sets."""
+def keys_of(held: np.ndarray, cuts: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, document, section, most) of the keys of shingle sets.
+
+    A section holds the keys that a document sends for one class in one round; the most rarest of them select."""
     low, (differ, groups, slack, least) = classes(a, b)
     size = np.diff(cuts)
+    n = len(size)
     own = np.searchsorted(low, size, side="right") - 1
-    of = np.repeat(np.arange(len(size)), size)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    of = np.repeat(np.arange(n), size)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def note(keys: np.ndarray, docs: np.ndarray, section: int, most: np.ndarray | None = None):
+        out.append((keys, docs, section * n + docs, np.full(len(docs), EVERY) if most is None else most[docs]))
+
     with np.errstate(over="ignore"):
         mixed = mix(held ^ SALT)
-        total = np.zeros(len(size), np.uint64)
+        total = np.zeros(n, np.uint64)
         np.add.at(total, of, mixed)
         for back in (0, 1):
             cls = np.maximum(own - back, 0)
             use = (size > 0) & (own - back >= 0)
+            most = np.minimum(differ[cls], size * (b - a) // a) + 1
+            section = back * (ROUNDS + 1)
             tag = mix((cls.astype(np.uint64) << np.uint64(40)) + np.uint64(1))
             few = use & (groups[cls] == 0)
             at = np.flatnonzero(few)
-            out.append((mix(total[at] ^ tag[at]), at))
+            note(mix(total[at] ^ tag[at]), at, section)
             one = np.flatnonzero((few & (differ[cls] >= 1))[of])
-            out.append((mix((total[of[one]] - mixed[one]) ^ tag[of[one]]), of[one]))
+            note(mix((total[of[one]] - mixed[one]) ^ tag[of[one]]), of[one], section)
             for d in np.flatnonzero(few & (differ[cls] == 2)):
                 m = mixed[cuts[d] : cuts[d + 1]]
                 i, j = np.triu_indices(len(m), 1)
-                out.append((mix((total[d] - m[i] - m[j]) ^ tag[d]), np.full(len(i), d)))
+                note(mix((total[d] - m[i] - m[j]) ^ tag[d]), np.full(len(i), d), section)
             rest = use & (groups[cls] > 0)
             for turn in range(ROUNDS):
                 if not rest.any():
@@ -118,14 +142,14 @@ def keys_of(held: np.ndarray, cuts: np.ndarray, a: int, b: int) -> tuple[np.ndar
                 index = first[o] + ((h >> np.uint64(32)) * d[o].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
                 sums, count = np.zeros(first[-1], np.uint64), np.bincount(index, minlength=first[-1])
                 np.add.at(sums, index, mixed[at])
-                doc = np.repeat(np.arange(len(size)), d)
+                doc = np.repeat(np.arange(n), d)
                 nth = (np.arange(first[-1]) - first[doc] + 2).astype(np.uint64) + (np.uint64(turn) << np.uint64(36))
                 full = count >= least[cls][doc]
-                out.append((mix(sums[full] ^ mix((cls[doc[full]].astype(np.uint64) << np.uint64(40)) + nth[full])), doc[full]))
-                rest = rest & (d - np.bincount(doc[full], minlength=len(size)) > slack[cls])
+                note(mix(sums[full] ^ mix((cls[doc[full]].astype(np.uint64) << np.uint64(40)) + nth[full])), doc[full], section + 1 + turn, most)
+                rest = rest & (d - np.bincount(doc[full], minlength=n) > slack[cls])
             odd = np.flatnonzero(rest)
-            out.append((mix(cls[odd].astype(np.uint64) + SALT), odd))
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+            note(mix(cls[odd].astype(np.uint64) + SALT), odd, section)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def packed(ids: np.ndarray) -> bytes:
@@ -160,19 +184,82 @@ class Documents:
             yield own, *shingle_sets([col[int(i)].as_py() for i in own], self.k)
 
 
+COUNTS = pa.schema([("b", pa.int64()), ("g", pa.int32()), ("keys", pa.binary()), ("places", pa.binary()), ("counts", pa.binary())])
+SHARED = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("did", pa.int64()), ("th", pa.int64()), ("b", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+SHARED_DDL = "g int, kind int, did long, th long, b long, keys binary, counts binary"
 KEYS = pa.schema([("b", pa.int64()), ("g", pa.int32()), ("keys", pa.binary()), ("least", pa.binary()), ("edges", pa.binary())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+LOW32 = np.uint64(0xFFFFFFFF)
+
+
+def _count_keys(k: int, a: int, b: int, buckets: int):
+    @light
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        docs = Documents(left, right, k)
+        found = [np.zeros(0, np.uint64), *(keys_of(held, cuts, a, b)[0] for _, held, cuts in docs.sets(np.flatnonzero(~docs.copy)))]
+        h, count = np.unique(np.concatenate(found), return_counts=True)
+        rows = []
+        for x, at in split_by(bucket_of(h, buckets)):
+            many = np.flatnonzero(count[at] > 1)
+            rows.append((x, key[0].as_py(), blob((h[at] & LOW32).astype(np.uint32)), blob(many.astype(np.uint32)), blob(count[at[many]].astype(np.uint32))))
+        return _batches(rows, COUNTS)
+
+    return run
+
+
+@light
+def _answer_keys(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The keys of several documents and how many, to each group that sent them."""
+    parts = [np.frombuffer(x, np.uint32) for x in column(table, "keys")]
+    counts = []
+    for part, places, more in zip(parts, column(table, "places"), column(table, "counts"), strict=True):
+        own = np.ones(len(part), np.uint32)
+        own[np.frombuffer(places, np.uint32)] = np.frombuffer(more, np.uint32)
+        counts.append(own)
+    keys, count = np.concatenate(parts), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    keys, count = keys[order], count[order]
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    total = np.add.reduceat(count, cuts, dtype=np.int64)
+    known, total = keys[cuts][total > 1], np.minimum(total[total > 1], (1 << 32) - 1).astype(np.uint32)
+    rows = []
+    for g, part in zip(column(table, "g"), parts, strict=True):
+        if len(known):
+            part = np.unique(part)
+            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+            at = at[known[at] == part]
+            if len(at):
+                rows.append((g, 1, None, None, key[0].as_py(), blob(known[at]), blob(total[at])))
+    return _batches(rows, SHARED)
 
 
 def _send_keys(k: int, a: int, b: int, buckets: int):
     @light
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        known, count = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+        for kind, x, keys, counts in zip(*(column(right, c) for c in ("kind", "b", "keys", "counts")), strict=True):
+            if kind == 1:
+                known.append(np.uint64(x) << np.uint64(32) | np.frombuffer(keys, np.uint32).astype(np.uint64))
+                count.append(np.frombuffer(counts, np.uint32))
+        known, count = np.concatenate(known), np.concatenate(count)
+        if not len(known):
+            return _batches([], KEYS)
+        order = np.argsort(known)
+        known, count = known[order], count[order]
         docs = Documents(left, right, k)
         keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for own, held, cuts in docs.sets(np.flatnonzero(~docs.copy)):
-            found, doc = keys_of(held, cuts, a, b)
-            keys.append(found)
-            ids.append(docs.ids[own[doc]])
+            h, doc, section, most = keys_of(held, cuts, a, b)
+            h = bucket_of(h, buckets).astype(np.uint64) << np.uint64(32) | h & LOW32
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            alone = np.bincount(section[~hit], minlength=int(section.max(initial=-1)) + 1)
+            h, doc, section, most, often = h[hit], doc[hit], section[hit], most[hit], count[at[hit]]
+            order = np.lexsort((h, often, section))
+            first = np.searchsorted(section[order], section[order])
+            use = order[alone[section[order]] + np.arange(len(order)) - first < most[order]]
+            keys.append(h[use])
+            ids.append(docs.ids[own[doc[use]]])
         h, d = np.concatenate(keys), np.concatenate(ids)
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
@@ -183,8 +270,8 @@ def _send_keys(k: int, a: int, b: int, buckets: int):
         lead = np.repeat(least, np.diff(np.append(cuts, len(h))))
         local = np.unique(np.stack([d, lead], 1)[d != lead], axis=0)
         h = h[cuts]
-        low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        rows = [(x, key[0].as_py(), blob(low[at]), packed(least[at]), b"") for x, at in split_by(bucket_of(h, buckets))]
+        low = (h & LOW32).astype(np.uint32)
+        rows = [(x, key[0].as_py(), blob(low[at]), packed(least[at]), b"") for x, at in split_by((h >> np.uint64(32)).astype(np.int64))]
         if len(local):
             rows[0] = (*rows[0][:4], blob(local))
         return _batches(rows, KEYS)
@@ -250,15 +337,9 @@ class Block:
         self.vectors = np.bincount(owner * DIMS + group, minlength=len(arrays) * DIMS).reshape(len(arrays), DIMS)
         self.tokens, self.flat = np.unique(flat, return_inverse=True)
         self.tree = RTree(self.vectors, self.sizes) if arrays else None
-        self.parent = list(range(len(arrays)))
+        self.root = np.arange(len(arrays))
         self.mark = np.zeros(len(self.tokens), bool)
 
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
     def tokens_of(self, x: int) -> np.ndarray:
         return self.flat[self.cuts[x] : self.cuts[x + 1]]
 
@@ -283,12 +364,12 @@ class Block:
         """The component of each row."""
         for x in range(len(self.sizes)):
             near = self.tree.near(self.vectors[x], int(self.sizes[x]), a, b)
-            own = self.find(x)
-            near = np.array([y for y in near.tolist() if y > x and self.find(y) != own], np.int64)
+            near = near[(near > x) & (self.root[near] != self.root[x])]
             if len(near):
                 for y in self.linked(self.tokens_of(x), int(self.sizes[x]), near, a, b).tolist():
-                    self.parent[self.find(y)] = self.find(x)
-        return np.array([self.find(int(p)) for p in self.point], np.int64)
+                    if self.root[y] != self.root[x]:
+                        self.root[self.root == self.root[y]] = self.root[x]
+        return self.root[self.point]
 
 
 def dimensions(size: int) -> int:
@@ -322,7 +403,7 @@ class Points(Block):
         self.fine = [x[1:] for x in arrays]
         self.vectors = np.stack([folded(x, DIMS) for x in self.fine]) if arrays else np.zeros((0, DIMS), np.int64)
         self.tree = RTree(self.vectors, self.sizes) if arrays else None
-        self.parent = list(range(len(arrays)))
+        self.root = np.arange(len(arrays))
         self.dims = np.array([len(x) for x in self.fine], np.int64)
         self.row = np.zeros(len(arrays), np.int64)
         self.levels = {}
@@ -366,9 +447,9 @@ def _join_block(a: int, b: int, kind):
         for i, c in zip(ids, component.tolist(), strict=True):
             if i != least[c]:
                 rows.append((i, least[c], None, None, None, None))
-        hubs = {c for c, hub in zip(component.tolist(), column(table, "hub"), strict=True) if hub}
-        for i, c, comp, part, parts, data in zip(ids, component.tolist(), column(table, "comp"), column(table, "part"), column(table, "parts"), sets, strict=True):
-            if parts > 1 and c not in hubs:
+        reached = {c for c, first in zip(component.tolist(), column(table, "first"), strict=True) if first}
+        for i, c, comp, part, parts, away, data in zip(ids, component.tolist(), *(column(table, x) for x in ("comp", "part", "parts", "away")), sets, strict=True):
+            if parts > 1 and not away and c not in reached:
                 rows.append((i, None, comp, part, parts, data))
         return _batches(rows, LINKS)
 
@@ -391,27 +472,27 @@ def _join_late(a: int, b: int, kind):
     return run
 
 
-SETS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("comp", pa.int64()), ("hub", pa.bool_()), ("did", pa.int64()), ("data", pa.binary())])
-SETS_DDL = "block long, part int, parts int, comp long, hub boolean, did long, data binary"
+SETS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("comp", pa.int64()), ("first", pa.bool_()), ("away", pa.bool_()), ("did", pa.int64()), ("data", pa.binary())])
+SETS_DDL = "block long, part int, parts int, comp long, first boolean, away boolean, did long, data binary"
 
 
 def _send_sets(k: int, blocks: int, kind):
     def run(batches):
         for batch in batches:
             col = batch.column("data")
-            ids, comps, many, hubs = (batch.column(x).to_pylist() for x in ("did", "comp", "parts", "hub"))
+            ids, comps, many, hubs, firsts = (batch.column(x).to_pylist() for x in ("did", "comp", "parts", "hub", "first"))
             for b, e in slices([len(x.as_buffer()) for x in col], SLICE):
                 held, cuts = shingle_sets([col[i].as_py() for i in range(b, e)], k)
                 rows = []
                 for j, i in enumerate(range(b, e)):
-                    did, comp, parts, hub = ids[i], comps[i], many[i], hubs[i]
+                    did, comp, parts = ids[i], comps[i], many[i]
                     data = held[cuts[j] : cuts[j + 1]]
                     data = b"" if not len(data) else count_vector(data) if kind is Points else blob(data)
                     with np.errstate(over="ignore"):
                         own_part = int(mix(np.uint64([did & (1 << 64) - 1]))[0] % np.uint64(parts))
                         block = comp if parts > 1 else -1 - int(mix(np.uint64([comp & (1 << 64) - 1]))[0] % np.uint64(blocks))
                     if data:
-                        rows += [(block, part, parts, comp, hub, did, data) for part in (range(parts) if hub else [own_part])]
+                        rows += [(block, part, parts, comp, firsts[i], part != own_part, did, data) for part in (range(parts) if hubs[i] else [own_part])]
                 if rows:
                     yield from _batches(rows, SETS).to_batches()
 
@@ -433,14 +514,17 @@ def compare(hashed: DataFrame, copies: DataFrame, edges: DataFrame, k: int, a: i
     parts = F.ceil(F.col("members") / PART).cast("int")
     degree = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("degree"))
     large = per.where(parts > 1)
-    hubs = candidates.join(large, candidates["component"] == large["comp"]).join(degree, "node")
-    hubs = hubs.groupBy("comp").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub_node"))
+    hubs = candidates.join(large, candidates["component"] == large["comp"]).join(degree, "node", "left").withColumn("rank", F.struct(F.coalesce("degree", F.lit(0)), -F.col("node")))
+    hubs = hubs.groupBy("comp", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("slot")).agg(F.max_by("node", "rank").alias("hub"), F.max("rank").alias("rank"))
+    hubs = hubs.groupBy("comp").agg(F.collect_list("hub").alias("hubs"), F.max_by("hub", "rank").alias("hub"))  # at most HUBS rows each
     live = candidates.join(per, candidates["component"] == per["comp"]).join(hubs, "comp", "left")
-    live = stored(live.select(F.col("node").alias("did"), "comp", parts.alias("parts"), F.coalesce(F.col("hub_node") == F.col("node"), F.lit(False)).alias("hub")), "members")
+    is_hub, is_first = F.array_contains("hubs", F.col("node")), F.col("hub") == F.col("node")
+    live = live.select(F.col("node").alias("did"), "comp", parts.alias("parts"), F.coalesce(is_hub, F.lit(False)).alias("hub"), F.coalesce(is_first, F.lit(False)).alias("first"))
+    live = stored(live, "members")
     count = live.count()
     told = F.broadcast(live) if count <= BROADCAST_ROWS else live
     reread = hashed.join(told, "did").join(copies.select("did", "th").withColumn("copy", F.lit(True)), ["did", "th"], "left").where("copy IS NULL")
-    reread = reread.select("did", "comp", "parts", "hub", "data")
+    reread = reread.select("did", "comp", "parts", "hub", "first", "data")
     members = reread.mapInArrow(_send_sets(k, max(1, count // PART), kind), SETS_DDL)
     links = stored(members.groupBy("block", "part").applyInArrow(_join_block(a, b, kind), LINK_DDL), "links")
     found = links.where("b IS NOT NULL").select("a", "b")
@@ -466,10 +550,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
     groups = group_count(bare)
     place = F.pmod(F.xxhash64("did"), F.lit(groups)).cast("int").alias("g")
     copies = stored(exact_copies(bare.where(F.col("text").rlike(WORD))).withColumnRenamed("doc_id", "did"), "copies")
-    noted = copies.select(place, F.lit(0).alias("kind"), "did", "th")
+    none = F.lit(None)
+    noted = copies.select(place, F.lit(0).alias("kind"), "did", "th", none.cast("long").alias("b"), none.cast("binary").alias("keys"), none.cast("binary").alias("counts"))
     hashed = bare.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("th"), F.encode("text", "UTF-8").alias("data"))
     dealt = hashed.select(place, "did", "th", "data")
-    keys = dealt.groupBy("g").cogroup(noted.groupBy("g")).applyInArrow(_send_keys(k, a, b, max(1, groups // 2)), "b long, g int, keys binary, least binary, edges binary")
+    buckets = max(1, groups // 2)
+
+    def meet(function, schema, right):
+        return dealt.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(function, schema)
+
+    counts = meet(_count_keys(k, a, b, buckets), "b long, g int, keys binary, places binary, counts binary", noted)
+    shared = counts.groupBy("b").applyInArrow(_answer_keys, SHARED_DDL)
+    keys = meet(_send_keys(k, a, b, buckets), "b long, g int, keys binary, least binary, edges binary", noted.unionByName(shared))
     edges = stored(keys.groupBy("b").applyInArrow(_link_keys, "a long, b long").distinct(), "candidates")
     near = compare(hashed, copies, edges, k, a, b, Points)
     links = compare(hashed, copies, near, k, a, b, Block)
