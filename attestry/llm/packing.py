@@ -61,8 +61,9 @@ class Piece:
         return len(self.ids) if self.mask is None else int(self.mask.sum())
 
     def cut(self, at: int) -> tuple[Piece, Piece]:
-        mask = (None, None) if self.mask is None else (self.mask[:at], self.mask[at:])
-        return Piece(self.doc_id, self.start, self.ids[:at], self.doc_tokens, mask[0]), Piece(self.doc_id, self.start + at, self.ids[at:], self.doc_tokens, mask[1])
+        """Both pieces hold ids of their own, so that a waiting tail doesn't keep its document's."""
+        mask = (None, None) if self.mask is None else (self.mask[:at].copy(), self.mask[at:].copy())
+        return Piece(self.doc_id, self.start, self.ids[:at].copy(), self.doc_tokens, mask[0]), Piece(self.doc_id, self.start + at, self.ids[at:].copy(), self.doc_tokens, mask[1])
 
 
 class Packer:
@@ -81,9 +82,11 @@ class Packer:
 
     def add(self, piece: Piece):
         """The placed pieces (piece, sequence, offset) that this one sets free."""
-        while len(piece) >= self.tokens and piece.mask is None:
-            head, piece = piece.cut(self.tokens)
-            yield from self._close([head])
+        if len(piece) >= self.tokens and piece.mask is None:
+            at = len(piece) // self.tokens * self.tokens
+            whole, piece = piece.cut(at)
+            for i in range(0, at, self.tokens):
+                yield from self._close([Piece(whole.doc_id, whole.start + i, whole.ids[i : i + self.tokens], whole.doc_tokens)])
         if len(piece):
             self.pool.append(piece)
         while len(self.pool) >= self.most:
