@@ -17,7 +17,8 @@ TOKEN = regex.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*")
 WINDOW = 8
 #: Bound of the labelled sample that the model is fitted on.
 SAMPLE_ROWS = 20_000
-LEXICON_TERMS = 512
+#: A misspelled hit counts this much less for each edit.
+EDIT_DISCOUNT = 0.8
 OPENING, CLOSING = "\"'“‘«„‹", "\"'”’»“›"
 REPORTING = frozenset("quote quoted quotes quoting said says saying called calling calls word words term terms wrote writes phrase insult insults slur slurs zitat zitiert sagte wort mot terme dit citation palabra dijo".split())
 ADDRESS = frozenset("you your yours yourself u ur are is du dich ihr tu vous eres".split())
@@ -105,7 +106,7 @@ class _Matches(dict):
     def __missing__(self, word: str):
         if len(self) > 1 << 18:
             self.clear()
-        found = self.automaton.match(word) if 2 < len(word) <= 64 else None
+        found = self.automaton.match(word)
         if found and found[1] and word in self.ordinary:
             found = None
         self[word] = found
@@ -121,11 +122,14 @@ def quoted(text: str, begin: int, end: int) -> bool:
     return opened % 2 == 1 and any(c in right for c in "\"”»“")
 
 
-FEATURES = 7
+FEATURES = 5
 
 
 def features(text: str, matches: _Matches) -> list[float]:
-    """Counts of hits by kind: whole or misspelled, abusive or quoted, weighed by their windows; and their density."""
+    """Hits weighed by their windows as abusive and as quoted, their density, those near others, and whether any abuses.
+
+    A misspelled hit counts in the same features as a whole one, discounted by its edits, so it has weights learned from
+    both."""
     out = [0.0] * FEATURES
     lowered = text.lower()
     words = TOKEN.findall(lowered)
@@ -134,26 +138,22 @@ def features(text: str, matches: _Matches) -> list[float]:
     hit = {w for w in set(words) if matches[w]}
     if not hit:
         return out
-    kinds = [0.0] * 4
-    near = 0.0
+    abuses = quotes = near = amount = 0.0
     spans = [(m.start(), m.end()) for m in TOKEN.finditer(lowered)]
     at = [i for i, w in enumerate(words) if w in hit]
     places = np.array(at)
     for i in at:
-        edits = matches[words[i]][1]
+        weight = EDIT_DISCOUNT ** matches[words[i]][1]
         window = words[max(0, i - WINDOW) : i + WINDOW + 1]
         told = sum(w in REPORTING for w in window)
-        close = int(np.count_nonzero(np.abs(places - i) <= WINDOW)) - 1
+        close = int(np.count_nonzero(np.abs(places[np.searchsorted(places, i - WINDOW) :][: 2 * WINDOW + 1] - i) <= WINDOW)) - 1
         inside = quoted(lowered, *spans[i])
         abuse = 1.0 / (1.0 + math.exp(2.0 * inside + 1.0 * min(told, 2) - 0.5 * min(close, 2) - 0.25 * any(w in ADDRESS for w in window) - 1.0))
-        kinds[2 * (edits > 0)] += abuse
-        kinds[2 * (edits > 0) + 1] += 1.0 - abuse
-        near += close > 0
-    out[:4] = [math.log1p(x) for x in kinds]
-    out[4] = math.log1p(100.0 * len(at) / len(words))
-    out[5] = math.log1p(near)
-    out[6] = float(kinds[0] > 0.3)
-    return out
+        abuses += weight * abuse
+        quotes += weight * (1.0 - abuse)
+        amount += weight
+        near += weight * (close > 0)
+    return [math.log1p(abuses), math.log1p(quotes), math.log1p(100.0 * amount / len(words)), math.log1p(near), float(abuses > 0.3)]
 
 
 @dataclass
@@ -173,14 +173,17 @@ def remainder(col: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most rows labelled documents outside the held-out fifth, those of least hash."""
+    """(doc_id, text, toxic) of at most rows labelled documents outside the held-out fifth, those of least hash.
+
+    A doc_id gives one row, of its rows' texts the one of least hash."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(remainder() != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a feature: the documented bound
-    return docs.join(F.broadcast(known), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: int = LEXICON_TERMS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """The lexicon: words that say much of the label in the sample. The model: logistic weights of the features.
 
     A word enters with a log-likelihood ratio of at least 15 over the share of toxic rows and a share of its own of at
@@ -192,10 +195,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: in
         return Model(bias=math.log((t + 1) / (n - t + 9)))
     base = t / n
     words = known.select("doc_id", "y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+(?:[@$!*][\p{L}\p{N}]+)*"), F.lit(0)))).alias("w"))
-    counts = words.where(F.length("w").between(4, 64)).groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
+    counts = words.groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
     share = F.col("t") / F.col("n")
     gain = F.col("t") * F.log(share / F.lit(base)) + F.when(F.col("t") < F.col("n"), (F.col("n") - F.col("t")) * F.log((1 - share) / F.lit(1 - base))).otherwise(0.0)
-    lexicon = [r["w"] for r in counts.where("t > 0").withColumn("gain", gain).where((F.col("gain") >= 15) & (share >= 0.5)).orderBy(F.desc("gain"), "w").limit(terms).collect()]
+    lexicon = [r["w"] for r in counts.where("t > 0").withColumn("gain", gain).where((F.col("gain") >= 15) & (share >= 0.5)).select("w").collect()]
     lexicon.sort()
 
     def near(batches):
