@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from html import unescape
 
 import pyarrow as pa
@@ -19,6 +20,9 @@ VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
 LANG = re.compile(r"""<html[^>]*?\slang\s*=\s*["']?([A-Za-z0-9-]+)""", re.I)
+CHARSET = re.compile(r"^content-type:.*charset=[\"']?([A-Za-z0-9_.:-]+)", re.I)
+#: What a page holds without showing it, and where no link counts.
+UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 LINK = re.compile(r"""<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
@@ -42,13 +46,47 @@ def serialise(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one serialised record."""
+    """Headers and block of one serialised record. A record without its whole block is an error."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if lines[0] != VERSION:
-        raise ValueError(f"not a {VERSION} record")
-    headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    return headers, rest[: int(headers["Content-Length"])]
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/1."):
+        raise ValueError("not a WARC record")
+    headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    size = int(headers.get("Content-Length") or 0)
+    if len(rest) < size:
+        raise ValueError(f"a WARC record has {len(rest)} of {size} bytes")
+    return headers, rest[:size]
+
+
+def body_of(http: list[str], payload: bytes) -> bytes:
+    """The page's bytes: without the chunks and the compression that the HTTP header names. What is broken stays."""
+    said = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(":") for x in http[1:])}
+    if said.get("transfer-encoding") == "chunked":
+        out, at = b"", 0
+        while (end := payload.find(b"\r\n", at)) >= 0:
+            try:
+                n = int(payload[at:end].split(b";")[0], 16)
+            except ValueError:
+                return payload
+            out += payload[end + 2 : end + 2 + n]
+            at = end + 4 + n
+            if not n:
+                break
+        payload = out
+    if said.get("content-encoding") in ("gzip", "deflate"):
+        try:
+            return zlib.decompressobj(47 if said["content-encoding"] == "gzip" else 15).decompress(payload)
+        except zlib.error:
+            return payload
+    return payload
+
+
+def decoded(http: list[str], payload: bytes) -> str:
+    charset = next((m[1] for x in http if (m := CHARSET.search(x))), "utf-8")
+    try:
+        return payload.decode(charset, "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
 
 
 def response(page_id: int | None, url: str | None, html: str | None, date: str = DATE) -> tuple[list[tuple[str, str]], bytes]:
@@ -68,9 +106,9 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
     conversion's block is the page's whole visible text, a line for each block."""
     source = dict(headers)
     http, _, payload = block.partition(b"\r\n\r\n")
-    html = payload.decode("utf-8", "replace")
-    text = "\n".join(t for t, _ in blocks(html, everything=True)).encode("utf-8")
     lines = http.decode("latin-1").split("\r\n")
+    html = decoded(lines, body_of(lines, payload))
+    text = "\n".join(t for t, _ in blocks(html, everything=True)).encode("utf-8")
     linked = [("WARC-Refers-To", source["WARC-Record-ID"]), ("WARC-Refers-To-Target-URI", source["WARC-Target-URI"]), ("WARC-Refers-To-Date", source["WARC-Date"]), ("WARC-Target-URI", source["WARC-Target-URI"]), ("WARC-Date", source["WARC-Date"]), ("WARC-Source-Payload-Digest", source["WARC-Payload-Digest"])]
 
     def made(kind: str, content: str, data: bytes):
@@ -81,7 +119,7 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[tuple[list[tupl
     title, lang = TITLE.search(html), LANG.search(html)
     fields = [("http-status", lines[0].split(" ", 1)[1] if " " in lines[0] else ""), *((f"http-{k.lower()}", v) for k, _, v in (x.partition(": ") for x in lines[1:]) if k)]
     fields += [("title", unescape(title[1]) if title else ""), ("language", lang[1].lower() if lang else "")]
-    fields += [("outlink", unescape(m[1] or m[2] or m[3] or "")) for m in LINK.finditer(html)]
+    fields += [("outlink", unescape(m[1] or m[2] or m[3] or "")) for m in LINK.finditer(UNSEEN.sub(" ", html))]
     fields += [("conversion-id", dict(conversion[0])["WARC-Record-ID"]), ("conversion-digest", digest(text))]
     metadata = made("metadata", "application/warc-fields", "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields).encode("utf-8"))
     return [metadata, conversion]
@@ -102,9 +140,7 @@ def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
             rows = []
             for page_id, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), strict=True):
                 source = response(page_id, url, html.as_py(), date)
-                for headers, block in [source, *derive(*source)]:
-                    h = dict(headers)
-                    rows.append((page_id, h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Refers-To"), h["WARC-Target-URI"], h["Content-Type"], len(block), h["WARC-Block-Digest"], h.get("WARC-Payload-Digest", h.get("WARC-Source-Payload-Digest")), serialise(headers, block)))
+                rows += [_row(page_id, *made) for made in [source, *derive(*source)]]
                 if len(rows) >= 1024:
                     yield _batch(rows)
                     rows = []
@@ -114,6 +150,51 @@ def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, DDL)
 
 
+SEPARATOR = "\r\n\r\nWARC/1."
+
+
+def read_records(spark, path: str) -> DataFrame:
+    """(record) for each record of the WARC files below a path, plain or gzip-compressed, as its bytes.
+
+    Spark's text source splits the files where a record begins, so plain files are read in parts; a gzip file is one part.
+    Its rows are bytes as they are in the file, whatever their encoding. A block that holds the separator itself gives a
+    record that lacks bytes, which derive_records() reports as an error."""
+    rows = spark.read.option("lineSep", SEPARATOR).option("recursiveFileLookup", True).text(path).where("value <> ''")
+    raw = F.col("value").cast("binary")
+    begins = F.lit("WARC/1.").cast("binary")
+    return rows.select(F.when(F.startswith(raw, begins), raw).otherwise(F.concat(begins, raw)).alias("record"))
+
+
+def derive_records(records: DataFrame) -> DataFrame:
+    """The records derived from each response among records (record: bytes of one record), as derivatives() has them.
+
+    page_id is null; records of other types and null ones give nothing. Rows are independent, so nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for raw in batch.column("record"):
+                if not raw.is_valid:
+                    continue
+                headers, block = parse(raw.as_py())
+                if headers.get("WARC-Type") != "response":
+                    continue
+                headers = {"WARC-Target-URI": "", "WARC-Date": DATE, "WARC-Payload-Digest": digest(block.partition(b"\r\n\r\n")[2])} | headers
+                rows += [_row(None, *made) for made in derive(list(headers.items()), block)]
+                if len(rows) >= 1024:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
+
+    return records.select("record").mapInArrow(run, DDL)
+
+
+def _row(page_id: int | None, headers: list[tuple[str, str]], block: bytes) -> tuple:
+    h = dict(headers)
+    return (page_id, h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Refers-To"), h["WARC-Target-URI"], h["Content-Type"], len(block), h["WARC-Block-Digest"], h.get("WARC-Payload-Digest", h.get("WARC-Source-Payload-Digest")), serialise(headers, block))
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), COLUMNS, strict=True)], [n for n, _ in COLUMNS])
 
