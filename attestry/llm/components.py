@@ -12,8 +12,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) of the nodes of edges (a, b); component: the smallest node reachable.
 
     Each round links a node's larger neighbours, then its smaller ones, to its smallest neighbour. The least neighbour
-    is an aggregate with a map-side combine, joined back, so a hub's edges never meet in one task. Each round is written
-    to the shared folder. Edges of a node with itself are left out; an empty table has no components."""
+    is an aggregate with a map-side combine, joined back; the join deals by node, and where a hub's edges make a partition
+    too large Spark splits it, since only the side of one row for each node is repeated. Each round is written to the
+    shared folder. Rounds grow with the logarithm of the longest path; more than rounds of them is an error. Edges of a node with itself are left out; an empty table has no components."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs = stored(pairs, "edges")
     before = None

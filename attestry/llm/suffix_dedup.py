@@ -10,8 +10,9 @@ Documents are dealt to groups by doc_id, once. Groups and buckets then exchange
    and answers with a bit for each window: whether a smaller doc_id than the group's own holds it.
 5. Groups remove what those windows cover.
 
-A context that a third of all documents hold is one entry for each group, not for each document. The hash only selects;
-equality is judged on bytes. Whole-text copies are found before by hash and leave at once."""
+A context that a third of all documents hold is one entry for each group, not for each document. Buckets judge equality on
+bytes; what a group merges before, equal contexts and whole-text copies, it merges by 128 bits of hash. A group sends each
+bucket one row at most, and none without hashes, so there are never more rows than hashes, which grow with the input."""
 
 from __future__ import annotations
 
@@ -27,7 +28,8 @@ from .common import NULL_ID, blob, column, exact_copies, group_count, light, mix
 
 GRAM = 24
 SLICE = 1 << 20
-PLACE_BITS = np.uint64(27)
+#: A place takes 31 bits beside its hash: a binary cell of Arrow holds less than 2 GiB.
+PLACE_BITS = np.uint64(31)
 NEXT = np.uint64(0x2545F4914F6CDD1D)
 
 
