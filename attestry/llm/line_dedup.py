@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NULL_ID, UPPER, WHITE, scratch, texts
+from .common import LOWER, NULL_ID, UPPER, WHITE, scratch, stored, texts
 
 KEY = ["h1", "h2"]
 
@@ -17,66 +20,86 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Sorted runs of line hashes in levels, as in a log-structured merge tree.
+    """Sorted runs of line hashes in levels, as in a log-structured merge tree, which decide what lines go.
 
-    A run is a Parquet folder of (h1, h2, n_rows, lo, hi), dealt and sorted by hash; lo and hi are the smallest and
-    largest doc_id. add() merge-anti-joins a batch against the runs: hashes that no run holds become a run of level 0,
-    so a hash is in one run only; what the batch says of hashes already held is written beside them as repeats.
-    When a level has fanout runs they are merged into one run of the next level."""
+    A run is a bucketed table of (h1, h2, n_docs, keeper): for each hash the number of documents that hold it and the
+    largest of their doc_ids. All runs have the same buckets, sorted by hash, so runs meet bucket by bucket without an
+    exchange. add() merge-anti-joins a batch against the runs: hashes that no run holds become a run of level 0, so a hash
+    is in one run only; the counts of hashes already held become repeats, a run beside them. Batches hold whole documents,
+    so counts add up. When a level has fanout runs they are merged into one run of the next level."""
 
-    def __init__(self, spark, fanout: int = 2, root: str | None = None):
+    def __init__(self, spark, fanout: int = 2, root: str | None = None, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.root = root or scratch(spark, "line-runs")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.prefix = f"line_run_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
         self.repeats: list[str] = []
         self.written = 0
 
     def _write(self, df: DataFrame) -> str:
+        """The name of a run of df, which is dealt by hash already where it comes from an aggregate or another run."""
         self.written += 1
-        path = f"{self.root}/{self.written}"
-        df.repartition(*KEY).sortWithinPartitions(*KEY).write.parquet(path)
-        return path
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_rows long, lo long, hi long").parquet(*paths)
-
-    def runs(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self._read(paths) if paths else None
+        name = f"{self.prefix}_{self.written}"
+        df.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{self.written}").saveAsTable(name)
+        return name
+
+    def _runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def _with(self, run: DataFrame, name: str, how: str) -> DataFrame:
+        """A run joined with another by hash, bucket by bucket, their counts added up."""
+        other = self.spark.table(name).withColumnsRenamed({"n_docs": "__n", "keeper": "__k"}).hint("merge")
+        total = F.coalesce("n_docs", F.lit(0)) + F.coalesce("__n", F.lit(0))
+        return run.join(other, KEY, how).select(*KEY, total.alias("n_docs"), F.greatest("keeper", "__k").alias("keeper"))
+
+    def _merged(self, names: list[str]) -> str:
+        """One run of several, written two by two."""
+        out = names[0]
+        for name in names[1:]:
+            out = self._write(self._with(self.spark.table(out), name, "full_outer"))
+        return out
 
     def novel(self, batch: DataFrame) -> DataFrame:
         """The rows of a batch whose hash no run holds."""
-        held = self.runs()
-        return batch if held is None else batch.join(held.select(*KEY).hint("merge"), KEY, "left_anti")
+        for name in self._runs():
+            batch = batch.join(self.spark.table(name).select(*KEY).hint("merge"), KEY, "left_anti")
+        return batch
 
     def add(self, batch: DataFrame) -> None:
-        """batch: (h1, h2, n_rows, lo, hi), a row for each hash."""
-        own = self._read([self._write(batch)])
-        held = self.runs()
-        fresh = self._write(self.novel(own))
-        if held is not None:
-            self.repeats.append(self._write(own.join(held.select(*KEY).hint("merge"), KEY, "left_semi")))
+        """batch: (h1, h2, n_docs, keeper), a row for each hash."""
+        if not self._runs():
+            self._put(self._write(batch), 0)
+            return
+        whole = self._write(batch)
+        fresh = self._write(self.novel(self.spark.table(whole)))
+        again = self.spark.table(whole).join(self.spark.table(fresh).select(*KEY).hint("merge"), KEY, "left_anti")
+        self.repeats.append(self._write(again))
+        if len(self.repeats) >= 2 * self.fanout:
+            self.repeats = [self._merged(self.repeats)]
         self._put(fresh, 0)
 
-    def _put(self, path: str, level: int) -> None:
+    def _put(self, name: str, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._read(self.levels[level]))
+            merged = self._merged(self.levels[level])
             self.levels[level] = []
             self._put(merged, level + 1)
 
-    def frequent(self, rows: int) -> DataFrame:
-        """(h1, h2) of the hashes of at least that many rows from more than one doc_id."""
-        first = self.runs()
-        every = first
-        if self.repeats:
-            again = self._read(self.repeats)
-            every = first.where(F.col("n_rows") >= rows).join(again.select(*KEY).distinct(), KEY, "left_anti")
-            every = every.unionByName(first.join(again.select(*KEY).distinct(), KEY, "left_semi")).unionByName(again)
-        every = every.groupBy(*KEY).agg(F.sum("n_rows").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        return every.where((F.col("n") >= rows) & (F.col("lo") < F.col("hi"))).select(*KEY)
+    def frequent(self, docs: int) -> DataFrame:
+        """(h1, h2, keeper) of the hashes of at least that many documents.
+
+        A repeat's hash is in one run, so each run meets the repeats by itself."""
+        self.repeats = [self._merged(self.repeats)] if self.repeats else []
+        parts = [reduce(lambda df, name: self._with(df, name, "left"), self.repeats, self.spark.table(run)) for run in self._runs()]
+        return reduce(DataFrame.unionByName, parts).where(F.col("n_docs") >= docs).select(*KEY, "keeper")
+
+    def forget(self) -> None:
+        """Takes the runs' names out of the catalog; their files stay in the shared folder."""
+        for n in range(1, self.written + 1):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{n}")
 
 
 def line_drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
@@ -90,12 +113,11 @@ def line_drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fan
     lines = spark.read.schema(lines.schema).parquet(path)
     runs = LineRuns(spark, fanout)
     for b in range(batches):
-        own = lines.where(F.col("batch") == b)
-        runs.add(own.groupBy(*KEY).agg(F.count("*").alias("n_rows"), F.min("did").alias("lo"), F.max("did").alias("hi")))
-    hits = lines.join(runs.frequent(min_docs), KEY, "left_semi")
-    docs_of = hits.groupBy(*KEY, "did").agg(F.lit(1).alias("one"))
-    verdict = docs_of.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("did").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    gone = hits.join(verdict, KEY).where(F.col("did") != F.col("keeper"))
+        held = lines.where(F.col("batch") == b).groupBy(*KEY, "did").agg(F.lit(1).alias("one"))
+        runs.add(held.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("did").alias("keeper")))
+    frequent = stored(runs.frequent(min_docs), "frequent-lines")
+    runs.forget()
+    gone = lines.join(frequent, KEY).where(F.col("did") != F.col("keeper"))
     return gone.groupBy("did", "th").agg(F.collect_set("pos").alias("drops"))
 
 
@@ -112,7 +134,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     drops = drops.select(F.col("did").alias("__did"), F.col("th").alias("__th"), F.col("drops").alias("__drops"))
     out = marked.join(drops, ["__did", "__th"], "left")
     lines = out.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    lines = lines.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.coalesce(F.size("__drops"), F.lit(0)).cast("long"))
+    lines = lines.withColumn("n_lines", F.size("__lines").cast("long"))
     lines = lines.withColumn("n_dropped", F.when(F.col("__drops").isNull(), F.lit(0).cast("long")).otherwise(F.size("__drops").cast("long")))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drops"))
     kept = F.array_join(F.transform(left, lambda i: F.element_at("__lines", i + 1)), "\n")
