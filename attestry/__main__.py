@@ -19,15 +19,18 @@ def parser() -> argparse.ArgumentParser:
     command("verify", "draft", "sources").add_argument("--out")
     command("verify-claim", "claim", "sources").add_argument("--cite", action="append", default=[])
     command("eval", "cases").add_argument("--method", default="full")
+    command("verify-metadata", "bib", "--records", "--limit").add_argument("--provider", action="append", default=[])
     command("eval-suite", "manifest").add_argument("--method", default="full")
-    command("eval-draft", "draft", "sources", "expected")
+    command("eval-draft", "draft", "sources", "expected").add_argument("--bib")
     command("verify-bib", "tex", "bib")
-    command("verify-paper", "tex", "bib", "sources").add_argument("--out")
+    command("verify-paper", "tex", "bib", "sources", "--json").add_argument("--out")
     command("hallmark-predict", "rows", "records", "out")
     command("mutate-benchmark", "cases", "out")
     command("convert-external-benchmark", "records", "out").add_argument("--format", required=True)
     command("compare-benchmark", "cases")
     command("dashboard", "draft", "sources", "out")
+    command("render", "draft", "sources", "out")
+    command("methods")
     return out
 
 
@@ -37,28 +40,50 @@ def run(spark, a) -> bool:
 
     from .operators import bibliography as bib
     from .operators import evaluate as ev
+    from .operators.boundary import cut
     from .operators.retrieval import build_chunks
     from .plans import suite
     from .plans.verify import verify
     from .sinks import report
-    from .sources import readers
+    from .sources import providers, readers
 
     whole = lambda path: spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
     supported = lambda df: df.where("label <> 'supported'").isEmpty()
-    if a.command in ("verify", "dashboard"):
-        results = suite.verify_drafts(whole(a.draft), readers.sources(spark, a.sources))
+    show = lambda df: [print(r["value"], end="\n\n") for r in df.toLocalIterator()]
+    if a.command == "methods":
+        for name, (what, needs) in suite.METHODS.items():
+            print(f"{name}: {what}" + (f" Needs {', '.join(needs)}." if needs else ""))
+        return True
+    if a.command in ("verify", "dashboard", "render"):
+        draft = whole(a.draft)
+        results = cut(suite.verify_drafts(draft, readers.sources(spark, a.sources)), "results")
         if a.command == "dashboard":
+            report.write_dashboard(results, a.out)
+        elif a.command == "render":
+            blocks = report.draft_blocks(draft)
+            bound = bib.bind_blocks(results.select("claim_id", "claim", "citation_keys"), blocks)
             with open(a.out, "w", encoding="utf-8") as f:
-                f.write(report.dashboard(results))
+                f.writelines(report.annotated_page(report.annotated(blocks, bound, results)))
         elif a.out:
             report.write_ledgers(results, a.out)
         else:
-            report.ledger_markdown(results).select("value").show(1000, False)
+            show(report.ledger_markdown(results).select("value"))
         return supported(results)
+    if a.command == "verify-metadata":
+        entries = readers.bibtex_entries(whole(a.bib))
+        if a.limit:
+            entries = entries.orderBy("entry_ord").limit(int(a.limit))  # the command's own parameter
+        if a.records:
+            records = spark.read.schema(providers.SCHEMA).json(a.records)
+        else:
+            records = cut(providers.fetched_records(entries, a.provider or None), "records")
+        checks = bib.verify_metadata(entries, records)
+        show(checks.orderBy("key").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")))
+        return checks.where("status NOT IN ('verified', 'skipped')").isEmpty()
     if a.command == "verify-claim":
         claim = spark.createDataFrame([(1, a.claim, a.cite)], "claim_id long, claim string, citation_keys array<string>")
         results = verify(claim, build_chunks(readers.sources(spark, a.sources)))
-        report.ledger_markdown(results).select("value").show(10, False)
+        show(report.ledger_markdown(results).select("value"))
         return supported(results)
     if a.command == "eval":
         results = ev.case_results(suite.predict(readers.eval_cases(spark, a.cases).drop("mutations"), a.method))
@@ -70,7 +95,8 @@ def run(spark, a) -> bool:
             parts[name].show(1000, False)
         return parts["gates"].where("NOT pass").isEmpty()
     if a.command == "eval-draft":
-        results, summary = suite.run_draft_eval(whole(a.draft), readers.sources(spark, a.sources), readers.expected_claims(spark, a.expected))
+        entries = readers.bibtex_entries(whole(a.bib)) if a.bib else None
+        results, summary = suite.run_draft_eval(whole(a.draft), readers.sources(spark, a.sources), readers.expected_claims(spark, a.expected), entries)
         print(report.summary_json(summary.first()))
         return results.where("NOT pass").isEmpty()
     if a.command == "verify-bib":
@@ -79,8 +105,11 @@ def run(spark, a) -> bool:
         return found.where("errors > 0").isEmpty()
     if a.command == "verify-paper":
         parts = suite.verify_paper(whole(a.tex), whole(a.bib), readers.sources(spark, a.sources))
-        text = report.paper_markdown(parts["bibliography"], parts["results"]).orderBy("ord").select("value")
-        text.write.mode("overwrite").text(a.out) if a.out else text.show(1000, False)
+        parts["results"] = cut(parts["results"], "results")
+        text = report.paper_markdown(parts["bibliography"], parts["results"], parts["mapping"]).orderBy("ord").select("value")
+        text.write.mode("overwrite").text(a.out) if a.out else show(text)
+        if a.json:
+            report.paper_json(parts).select("value").write.mode("overwrite").text(a.json)
         return supported(parts["results"])
     if a.command == "hallmark-predict":
         entries = readers.hallmark_rows(spark, a.rows).select(F.col("bibtex_key").alias("key"), F.transform_keys("fields", lambda k, v: F.lower(k)).alias("fields"))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixtures
+from . import fixtures, rule_cases
 from .functions.text import chunks, expanded_tokens, sentences, shared, tokens, windows
 from .operators import bibliography as bib
 from .operators import evaluate as ev
 from .operators.claims import atoms, parse_claims
 from .operators.judge import adjudicate_pairs
 from .operators.retrieval import build_chunks, retrieve
+from .plans import suite
 from .plans.verify import verify
-from .rules import lenses
 from .rules.quantities import quantities
 from .sources.readers import bibtex_entries
 
@@ -96,13 +96,15 @@ def conversation_claims(spark, sf_dir):
     return out.groupBy("conv_id", "turn").agg(F.count("*").alias("n_claims"), F.sum(F.size(atoms(F.col("claim")))).alias("n_atoms"))
 
 
-def lens_findings(spark, sf_dir):
-    """How many findings each rule has on each inline pair; pairs and rules without any are left out."""
-    pairs = fixtures.frame(spark, "pairs")
-    rules = {**lenses.CONFLICTS, **lenses.TENSIONS, "entity": lenses.entity, "hedged": lenses.hedged, "narrower": lenses.narrower}
-    out = pairs.withColumns({f"f_{n}": F.size(f(F.col("claim"), F.col("evidence"))) for n, f in rules.items()})
-    rows = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"f_{n}").alias("n")) for n in rules])
-    return out.select("pair_id", F.explode(rows).alias("r")).where("r.n > 0").select("pair_id", "r.rule", F.col("r.n").cast("long").alias("n_findings"))
+def rule_findings(spark, sf_dir):
+    """Whether each rule finds anything in the rule cases (see rule_cases), each filled from every nation's row."""
+    out = rule_cases.findings(rule_cases.pairs(table(spark, sf_dir, "nation")))
+    return out.select("case", "rule", "n_nationkey", "fired")
+
+
+def case_verdicts(spark, sf_dir):
+    """The verdicts of the rule cases whose sentences differ in a slot alone."""
+    return rule_cases.verdicts(rule_cases.pairs(table(spark, sf_dir, "nation")))
 
 
 def adjudicate_fixtures(spark, sf_dir):
@@ -111,8 +113,11 @@ def adjudicate_fixtures(spark, sf_dir):
 
 
 def quantity_mentions(spark, sf_dir):
-    out = fixtures.frame(spark, "pairs").select("pair_id", F.posexplode(quantities(F.col("claim"))).alias("ord", "q"))
-    return out.select("pair_id", "ord", F.col("q.number").cast("double").alias("number"), "q.unit", "q.text")
+    """Quantities of a sentence on each order, which names its key as patients, a share, and a length in days."""
+    key = F.col("o_orderkey").cast("string")
+    said = F.concat(F.lit("The audit of "), key, F.lit(" patients found pain in "), (F.col("o_custkey") % 100).cast("string"), F.lit("% and lasted "), (F.col("o_custkey") % 30 + 2).cast("string"), F.lit(" days."))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(quantities(said)).alias("ord", "q"))
+    return found.select("o_orderkey", "ord", F.col("q.number").cast("double").alias("number"), "q.unit")
 
 
 # -- bibliography -----------------------------------------------------------------
@@ -125,8 +130,9 @@ def missing_labels(spark, sf_dir):
 
 
 def unused_labels(spark, sf_dir):
-    cited = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("key"))
-    return bib.unused_keys(cited, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")))
+    """Labels as citations, documents as the bibliography: entries that nothing cites."""
+    cited = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"))
+    return bib.unused_keys(cited, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key")))
 
 
 def bibliography_report(spark, sf_dir):
@@ -145,12 +151,13 @@ def metadata_match(spark, sf_dir):
 
 
 def judged_documents(spark, sf_dir) -> DataFrame:
-    """Labelled documents as cases: quality is the expected support, toxicity the prediction's flag."""
+    """Labelled documents as cases of all five labels: the length picks the expected one, and the prediction is as many
+    labels further on as the document's flags say."""
     labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    expected = F.when(F.col("quality") == 1, "supported").otherwise("unsupported")
-    predicted = F.when(F.col("toxic") == 1, "contradicted").otherwise("supported")
-    return labels.join(docs, "doc_id").select("doc_id", F.col("lang").alias("layer"), F.col("source").alias("dataset"), expected.alias("expected_label"), predicted.alias("predicted"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    label = lambda n: F.element_at(F.array(*map(F.lit, ev.LABELS)), (n % 5 + 1).cast("int"))
+    predicted = label(F.col("n_chars") + F.col("toxic") + 2 * (1 - F.col("quality")) + (F.col("n_chars") % 7 == 0).cast("int"))
+    return labels.join(docs, "doc_id").select("doc_id", F.col("lang").alias("layer"), F.col("source").alias("dataset"), label(F.col("n_chars")).alias("expected_label"), predicted.alias("predicted"))
 
 
 def label_confusion(spark, sf_dir):
@@ -163,7 +170,8 @@ def eval_layers(spark, sf_dir):
 
 def gate_results(spark, sf_dir):
     gates = spark.createDataFrame([("max_false_supported_rate", 0.1), ("min_accuracy", 0.5), ("min_unsupported_recall", 0.0)], "gate string, threshold double")
-    return ev.gate_results(ev.summarize(judged_documents(spark, sf_dir), "layer"), gates.crossJoin(spark.createDataFrame([(x,) for x in ("en", "de", "fr", "es")], "layer string")), "layer")
+    summary = ev.summarize(judged_documents(spark, sf_dir), "layer")
+    return ev.gate_results(summary, summary.select("layer").crossJoin(gates), "layer")  # three rows for each layer
 
 
 def method_ranking(spark, sf_dir):
@@ -180,6 +188,14 @@ def mutated_cases(spark, sf_dir):
     return ev.mutated(fixtures.frame(spark, "cases")).select("id", "parent_id", "mutation_kind", "claim", "evidence", "expected_label")
 
 
+def eval_drafts(spark, sf_dir):
+    """The inline drafts against the inline sources, gated by the inline bibliography, as evaluation cases."""
+    entries = bibtex_entries(fixtures.frame(spark, "bibliographies"))
+    sources = fixtures.frame(spark, "sources").withColumn("path", F.col("source_id"))
+    cases, _ = suite.run_draft_eval(fixtures.frame(spark, "drafts"), sources, fixtures.frame(spark, "expected"), entries)
+    return cases.select("id", "predicted", "predicted_mode", "false_supported", "pass", "candidate_count")
+
+
 def shared_tokens(spark, sf_dir):
     """Neighbouring turns of each conversation by the expanded tokens that they share."""
     from pyspark.sql import Window
@@ -190,7 +206,7 @@ def shared_tokens(spark, sf_dir):
 
 
 def queries() -> dict:
-    named = [tokenize_documents, split_sentences, chunk_documents, sentence_windows, overlap_baseline, retrieve_topk, verify_documents, verify_drafts, parse_drafts, conversation_claims, lens_findings, adjudicate_fixtures, quantity_mentions, missing_labels, unused_labels, bibliography_report, metadata_match, label_confusion, eval_layers, gate_results, method_ranking, label_histogram, mutated_cases, shared_tokens]
+    named = [tokenize_documents, split_sentences, chunk_documents, sentence_windows, overlap_baseline, retrieve_topk, verify_documents, verify_drafts, parse_drafts, conversation_claims, rule_findings, case_verdicts, eval_drafts, adjudicate_fixtures, quantity_mentions, missing_labels, unused_labels, bibliography_report, metadata_match, label_confusion, eval_layers, gate_results, method_ranking, label_histogram, mutated_cases, shared_tokens]
     return {f.__name__: f for f in named}
 
 
@@ -198,26 +214,68 @@ STOP = "'" + "','".join("a an and are as at be by for from in is it of on or tha
 TOKENS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ({STOP}))"
 STRIP = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 SENTENCES = "list_filter(list_transform(string_split(regexp_replace({}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: " + STRIP.format("s") + "), lambda s: s <> '')"
-CASES = "SELECT d.lang AS layer, d.source AS dataset, CASE WHEN l.quality = 1 THEN 'supported' ELSE 'unsupported' END AS e, CASE WHEN l.toxic = 1 THEN 'contradicted' ELSE 'supported' END AS p FROM labels l JOIN documents d USING (doc_id)"
-F1 = "coalesce(2.0 * count(*) FILTER (WHERE e = 'supported' AND p = 'supported') / nullif(count(*) FILTER (WHERE e = 'supported') + count(*) FILTER (WHERE p = 'supported'), 0), 0) / 5"
-RATES = f"""count(*) AS total,
-  round_even(count(*) FILTER (WHERE e = p) / count(*), 4) AS accuracy, round_even({F1}, 4) AS macro_f1,
+LABEL_LIST = "['" + "','".join(ev.LABELS) + "']"
+CASES = f"""SELECT d.lang AS layer, d.source AS dataset, ({LABEL_LIST})[d.n_chars % 5 + 1] AS e,
+  ({LABEL_LIST})[(d.n_chars + l.toxic + 2 * (1 - l.quality) + CASE WHEN d.n_chars % 7 = 0 THEN 1 ELSE 0 END) % 5 + 1] AS p FROM labels l JOIN documents d USING (doc_id)"""
+
+
+def _share(met: str, of: str) -> str:
+    return f"coalesce(count(*) FILTER (WHERE {met}) / nullif(count(*) FILTER (WHERE {of}), 0), 0)"
+
+
+F1 = " + ".join(f"coalesce(2.0 * count(*) FILTER (WHERE e = '{x}' AND p = '{x}') / nullif(count(*) FILTER (WHERE e = '{x}') + count(*) FILTER (WHERE p = '{x}'), 0), 0)" for x in ev.LABELS)
+RATES = f"""count(*) AS total, round_even(count(*) FILTER (WHERE e = p) / count(*), 4) AS accuracy, round_even(({F1}) / 5, 4) AS macro_f1,
   round_even(count(*) FILTER (WHERE e <> 'supported' AND p = 'supported') / count(*), 4) AS false_supported_rate,
-  round_even(coalesce(count(*) FILTER (WHERE e = 'supported' AND p = 'supported') / nullif(count(*) FILTER (WHERE p = 'supported'), 0), 0), 4) AS supported_precision,
-  round_even(coalesce(count(*) FILTER (WHERE e = 'supported' AND p = 'supported') / nullif(count(*) FILTER (WHERE e = 'supported'), 0), 0), 4) AS supported_recall,
-  0.0::DOUBLE AS unsupported_recall, 0.0::DOUBLE AS contradiction_recall, 0.0::DOUBLE AS manual_review_rate"""
+  round_even({_share("e = 'supported' AND p = 'supported'", "p = 'supported'")}, 4) AS supported_precision,
+  round_even({_share("e = 'supported' AND p = 'supported'", "e = 'supported'")}, 4) AS supported_recall,
+  round_even({_share("e = 'unsupported' AND p = 'unsupported'", "e = 'unsupported'")}, 4) AS unsupported_recall,
+  round_even({_share("e = 'contradicted' AND p = 'contradicted'", "e = 'contradicted'")}, 4) AS contradiction_recall,
+  round_even(count(*) FILTER (WHERE p IN ('partially_supported', 'uncertain')) / count(*), 4) AS manual_review_rate"""
+
+
+def _tokens(text: str) -> str:
+    return TOKENS.replace("lower(text)", f"lower({text})")
+
+
+def _expanded(text: str) -> str:
+    """Tokens of a text and of its camel-split form; the driver's texts have no split acronyms."""
+    return f"list_distinct(list_concat({_tokens(text)}, {_tokens(f"regexp_replace({text}, '([a-z])([A-Z])', '\\1 \\2', 'g')")}))"
+
+
+CHUNK_ROWS = f"""blocks AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda b: {STRIP.format('b')}), lambda b: b <> '') AS bs FROM documents),
+parts AS (SELECT doc_id, flatten(list_transform(bs, lambda b: CASE WHEN length(b) > 700 THEN {SENTENCES.format('b')} ELSE [b] END)) AS ps FROM blocks),
+packed AS (SELECT doc_id, string_split(list_reduce(ps, lambda a, x: CASE WHEN length(string_split(a, chr(2))[-1]) + length(x) + 1 <= 700 THEN a || ' ' || x ELSE a || chr(2) || x END), chr(2)) AS cs FROM parts WHERE len(ps) > 0),
+rows AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS i FROM packed)"""
+VERBS = "captures?|computes?|contains?|decreases?|improves?|increases?|outperforms?|provides?|reduces?|solves?|spans?|trains?|uses?"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "tokenize_documents": f"WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents) SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t",
         "split_sentences": f"WITH s AS (SELECT conv_id, turn, {SENTENCES.format('text')} AS s FROM conversations) SELECT conv_id, turn, len(s)::INTEGER AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM s",
-        "chunk_documents": f"""
-WITH blocks AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda b: {STRIP.format('b')}), lambda b: b <> '') AS bs FROM documents),
-parts AS (SELECT doc_id, flatten(list_transform(bs, lambda b: CASE WHEN length(b) > 700 THEN {SENTENCES.format('b')} ELSE [b] END)) AS ps FROM blocks),
-packed AS (SELECT doc_id, string_split(list_reduce(ps, lambda a, x: CASE WHEN length(string_split(a, chr(2))[-1]) + length(x) + 1 <= 700 THEN a || ' ' || x ELSE a || chr(2) || x END), chr(2)) AS cs FROM parts WHERE len(ps) > 0),
-rows AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS i FROM packed)
+        "chunk_documents": f"""WITH {CHUNK_ROWS}
 SELECT doc_id, doc_id || ':' || i AS chunk_id, i::BIGINT AS chunk_ord, length(c)::INTEGER AS n_chars, md5(c) AS chunk_md5 FROM rows""",
+        "retrieve_topk": f"""
+WITH {CHUNK_ROWS},
+chunk_tokens AS (SELECT doc_id, i, {_expanded('c')} AS t FROM rows), claim_tokens AS (SELECT item_id, {_expanded('text')} AS t FROM benchmark WHERE text IS NOT NULL),
+d AS (SELECT doc_id, i, len(t) AS n_chunk, unnest(t) AS w FROM chunk_tokens), q AS (SELECT item_id, len(t) AS n_claim, unnest(t) AS w FROM claim_tokens),
+met AS (SELECT item_id, doc_id, i, n_claim, n_chunk, count(*) AS n_shared FROM q JOIN d USING (w) GROUP BY ALL),
+scored AS (SELECT *, round_even(n_shared / sqrt(n_claim::DOUBLE * n_chunk), 4) AS score FROM met),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id::VARCHAR, i) AS r FROM scored WHERE score > 0)
+SELECT item_id AS claim_id, doc_id || ':' || i AS chunk_id, n_shared, n_claim::INTEGER AS n_claim, n_chunk::INTEGER AS n_chunk, score AS chunk_score, r::INTEGER AS chunk_rank FROM ranked WHERE r <= 8""",
+        "shared_tokens": f"""
+WITH t AS (SELECT conv_id, turn, {_expanded('text')} AS t FROM conversations), near AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t)
+SELECT conv_id, turn, len(list_intersect(t, before))::INTEGER AS n_shared FROM near WHERE before IS NOT NULL""",
+        "conversation_claims": f"""
+WITH kept AS (SELECT conv_id, turn, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with({STRIP.format('x')}, '#')), chr(10)) AS text FROM conversations),
+s AS (SELECT conv_id, turn, unnest({SENTENCES.format("regexp_replace(text, '\\s+', ' ', 'g')")}) AS s FROM kept)
+SELECT conv_id, turn, count(*) AS n_claims, sum(CASE WHEN regexp_matches(regexp_replace(s, '\\.+$', ''), '^(.+?)\\s+((?:{VERBS})\\b.+?)\\s+and\\s+((?:{VERBS})\\b.+)$') THEN 2 ELSE 1 END)::BIGINT AS n_atoms FROM s GROUP BY ALL""",
+        "rule_findings": rule_cases.findings_sql(),
+        "case_verdicts": rule_cases.verdicts_sql(),
+        "quantity_mentions": """
+SELECT o_orderkey, 0::INTEGER AS ord, o_orderkey::DOUBLE AS number, 'patient' AS unit FROM orders
+UNION ALL SELECT o_orderkey, 1, (o_custkey % 100)::DOUBLE, '%' FROM orders
+UNION ALL SELECT o_orderkey, 2, (o_custkey % 30 + 2)::DOUBLE, 'day' FROM orders""",
         "sentence_windows": f"""
 WITH s AS (SELECT doc_id, {SENTENCES.format('text')} AS s FROM documents), w AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i, s FROM s),
 near AS (SELECT doc_id, i, array_to_string(list_slice(s, greatest(i - 1, 1), least(i + 1, len(s))), ' ') AS win FROM w),
@@ -230,12 +288,12 @@ dt AS (SELECT doc_id, unnest(list_distinct({TOKENS})) AS token FROM documents),
 m AS (SELECT item_id, doc_id, n, count(*) AS n_shared FROM ct JOIN dt USING (token) GROUP BY ALL)
 SELECT item_id, doc_id, n_shared, CASE WHEN n_shared / n >= 0.68 THEN 'supported' ELSE 'partially_supported' END AS predicted FROM m WHERE n_shared / n >= 0.38""",
         "missing_labels": "SELECT DISTINCT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-        "unused_labels": "SELECT DISTINCT doc_id AS key FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')",
+        "unused_labels": "SELECT DISTINCT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "label_confusion": f"SELECT layer, e AS expected_label, p AS predicted, count(*) AS n FROM ({CASES}) GROUP BY ALL",
         "eval_layers": f"SELECT layer, dataset, {RATES} FROM ({CASES}) GROUP BY GROUPING SETS ((layer, dataset), (layer), ())",
         "gate_results": f"""WITH s AS (SELECT layer, {RATES} FROM ({CASES}) GROUP BY layer)
 SELECT layer, 'max_false_supported_rate' AS gate, false_supported_rate AS actual, 0.1::DOUBLE AS threshold, false_supported_rate <= 0.1 AS pass FROM s
-UNION ALL SELECT layer, 'min_accuracy', accuracy, 0.5, accuracy >= 0.5 FROM s UNION ALL SELECT layer, 'min_unsupported_recall', 0.0, 0.0, true FROM s""",
+UNION ALL SELECT layer, 'min_accuracy', accuracy, 0.5, accuracy >= 0.5 FROM s UNION ALL SELECT layer, 'min_unsupported_recall', unsupported_recall, 0.0, unsupported_recall >= 0.0 FROM s""",
         "method_ranking": f"""WITH c AS ({CASES}), m AS (SELECT layer, 'flag' AS method, e, p FROM c UNION ALL SELECT layer, 'always', e, 'supported' FROM c),
 s AS (SELECT layer, method, {RATES} FROM m GROUP BY layer, method)
 SELECT layer, method, accuracy, false_supported_rate, row_number() OVER (PARTITION BY layer ORDER BY accuracy DESC, false_supported_rate, method) AS rank FROM s""",

@@ -22,6 +22,7 @@ DRAFTS = [("d1", "# Heading\nThe planner improves recall on long dialogues \\cit
 SOURCES = [("plan", "plan", "plan", "The planner improves recall on long dialogues. It was tested in labs."), ("survey", "survey", "survey", "The survey began in 2014 across hospitals. Staff filled the forms.")]
 BIBLIOGRAPHIES = [("b1", "@article{plan, author = {Ada Stone and Bo Reed}, title = {Planning for {Long} Dialogues}, journal = {J}, year = {2020}}\n@misc{survey, title = {A Survey of Hospitals}}\n@book{spare, author={C}, title=\"Spare Parts\", publisher={P}, year=1999}")]
 RECORDS = [("plan", 0, 0, "index", ("Planning for Long Dialogues", "2020", ["Ada Stone", "Bo Reed"], None)), ("survey", 0, 0, "index", ("Cooking at Home", "2001", ["Zed"], None))]
+EXPECTED = [("e1", "planner improves recall", "supported", None), ("e2", "survey began", "contradicted", "year_conflict"), ("e3", "parser reads", "uncertain", "source_not_resolved")]
 CASES = [("c1", "The drug lowers pain.", "The drug lowers pain.", "supported", [("flip", None, None, "The drug raises pain.", "contradicted", None), (None, "own", "The drug cures pain.", None, "unsupported", None)])]
 
 TABLES = {
@@ -30,6 +31,7 @@ TABLES = {
     "sources": (SOURCES, "source_id string, citation_key string, title string, text string"),
     "bibliographies": (BIBLIOGRAPHIES, "bib_id string, text string"),
     "records": (RECORDS, "key string, provider_ord int, record_ord int, provider string, record struct<title:string,year:string,authors:array<string>,doi:string>"),
+    "expected": (EXPECTED, "id string, claim_contains string, expected_label string, expected_failure_mode string"),
     "cases": (CASES, "id string, claim string, evidence string, expected_label string, mutations array<struct<kind:string,id:string,claim:string,evidence:string,expected_label:string,expected_failure_mode:string>>"),
 }
 
@@ -48,8 +50,6 @@ SQL = {
     "parse_drafts": "SELECT * FROM (VALUES ('d1', 'The planner improves recall on long dialogues.', 'plan'), ('d1', 'The survey began in 2011 across hospitals.', 'survey,plan'), ('d1', 'The parser reads wards.', 'ghost')) t(draft_id, claim, keys)",
     "verify_drafts": "SELECT * FROM (VALUES ('The planner improves recall on long dialogues.', 'supported', CAST(NULL AS VARCHAR), 'passed'), ('The survey began in 2011 across hospitals.', 'contradicted', 'year_conflict', 'passed'), ('The parser reads wards.', 'uncertain', 'source_not_resolved', 'source_not_resolved')) t(claim, label, failure_mode, source_gate)",
     "mutated_cases": "SELECT * FROM (VALUES ('c1::flip', 'c1', 'flip', 'The drug lowers pain.', 'The drug raises pain.', 'contradicted'), ('own', 'c1', 'mutation', 'The drug cures pain.', 'The drug lowers pain.', 'unsupported')) t(id, parent_id, mutation_kind, claim, evidence, expected_label)",
-    "lens_findings": "SELECT pair_id::BIGINT AS pair_id, rule, 1::BIGINT AS n_findings FROM (VALUES (1, 'numeric'), (2, 'year'), (3, 'attribute'), (4, 'negation'), (8, 'hedged'), (9, 'training_config'), (10, 'p_value'), (11, 'mapping'), (12, 'protocol')) t(pair_id, rule)",
-    "quantity_mentions": "SELECT 1::BIGINT AS pair_id, 0::INTEGER AS ord, 40.0::DOUBLE AS number, 'patient' AS unit, '40 patients' AS text",
     "bibliography_report": "SELECT 4::BIGINT AS occurrences, 3::BIGINT AS cited, 'ghost' AS missing, 'spare' AS unused, '{\"survey\":[\"year\"]}' AS incomplete",
     "metadata_match": "SELECT * FROM (VALUES ('plan', 'verified', 'VALID', 0.95::DOUBLE), ('spare', 'not_found', 'HALLUCINATED', 0.65::DOUBLE), ('survey', 'not_found', 'HALLUCINATED', 0.65::DOUBLE)) t(bibtex_key, status, label, confidence)",
 }

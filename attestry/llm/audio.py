@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import column, light, stored
+from .suffix_dedup import _batches
 
 RATE = 4000
 FRAME, HOP = 1024, 256
@@ -103,54 +104,123 @@ def fingerprints(media: DataFrame, id_col: str, column: str, rendered: bool = Fa
     return media.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("media")).mapInArrow(run, "id long, n_codes long, codes binary")
 
 
-def _keys(batches):
-    """A row for each place of each code; of a run of equal codes its first and its last place."""
-    for batch in batches:
-        ids, keys, places, sizes = [], [], [], []
-        for i, x in zip(batch.column("id").to_pylist(), batch.column("codes"), strict=True):
-            codes = np.frombuffer(x.as_py() or b"", "<u4")
-            if len(codes):
-                new = np.concatenate([[True], codes[1:] != codes[:-1]])
-                at = np.flatnonzero(new | np.append(new[1:], True))
-                ids.append(np.full(len(at), i, np.int64))
-                keys.append(codes[at].view(np.int32))
-                places.append(at.astype(np.int32))
-                sizes.append(np.full(len(at), len(codes), np.int32))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))], ["id", "key", "at", "size"])
+#: Keys of each place, and bits of each key.
+TABLES, KEY_BITS = 3, 32
+#: A key takes bits from so many codes on; shorter recordings have no keys.
+REACH = 16
+
+
+def picked(table: int) -> list[tuple[int, int]]:
+    """(codes on, bit) of a key's bits by rule: each filter's leading bit, in every other code up to REACH.
+
+    A leading bit changes only where a filter's response changes sign, and distant codes share no frames."""
+    return [(2 * ((3 * i + i // 16 + 2 * table) % (REACH // 2 + 1)), 1 + 2 * ((9 * i + 5 * table) % 16)) for i in range(KEY_BITS)]
+
+
+def keys_at(codes: np.ndarray, table: int) -> np.ndarray:
+    """The key of each place of a fingerprint, the table's number above its bits."""
+    n = max(0, len(codes) - REACH)
+    out = np.full(n, table, np.int64)
+    for on, bit in picked(table):
+        out = out << 1 | (codes[on : on + n] >> np.uint32(bit) & np.uint32(1)).astype(np.int64)
+    return out
+
+
+class Asked:
+    """A block of queries: their codes, and an index from each key to the places that have it."""
+
+    def __init__(self, ids: list[int], codes: list[bytes]):
+        self.ids = ids
+        self.codes = [np.frombuffer(x, "<u4") for x in codes]
+        keys, owner, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for i, x in enumerate(self.codes):
+            own, at = every_key(x)
+            keys.append(own)
+            owner.append(np.full(len(own), i, np.int32))
+            place.append(at)
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.owner, self.place = key[order], np.concatenate(owner)[order], np.concatenate(place)[order]
+
+    def offsets(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The histogram of a recording: (query, offset, votes), a query's place less the recording's for equal keys."""
+        key, at = every_key(codes)
+        first, last = np.searchsorted(self.keys, key, side="left"), np.searchsorted(self.keys, key, side="right")
+        n = last - first
+        hit = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        voted = (self.owner[hit].astype(np.int64) << 32) + (self.place[hit].astype(np.int64) - np.repeat(at, n).astype(np.int64) + (1 << 31))
+        found, votes = np.unique(voted, return_counts=True)
+        return found >> 32, (found & ((1 << 32) - 1)) - (1 << 31), votes
+
+
+def every_key(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of each key of each place; of a run of equal keys its first and its last place."""
+    keys, places = [], []
+    for table in range(TABLES):
+        own = keys_at(codes, table)
+        new = np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]
+        at = np.flatnonzero(new | np.append(new[1:], True)[: len(own)])
+        keys.append(own[at])
+        places.append(at.astype(np.int32))
+    return np.concatenate(keys), np.concatenate(places)
+
+
+#: Bytes of codes of a part of the recordings and of a block of the queries; a block's index takes twelve times as much.
+PART_BYTES = BLOCK_BYTES = 16 << 20
+MATCHES = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("copies", pa.int64()), ("offset", pa.int32()), ("errors", pa.float64()), ("overlap", pa.int64())])
+
+
+def _meet(errors: float, overlap: int):
+    @light
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            asked = Asked(column(right, "q"), column(right, "q_codes"))
+            for i, raw, copies in zip(column(left, "id"), left.column("codes"), column(left, "copies"), strict=True):
+                codes = np.frombuffer(raw.as_py(), "<u4")
+                best: dict[int, tuple] = {}
+                for q, offset, _ in zip(*(x.tolist() for x in asked.offsets(codes)), strict=True):
+                    if asked.ids[q] == i or min(len(asked.codes[q]) - max(0, offset), len(codes) - max(0, -offset)) < overlap:
+                        continue
+                    wrong, n = bit_errors(asked.codes[q], codes, offset)
+                    if wrong <= errors:
+                        best[q] = min(best.get(q, (2.0,)), (wrong, -n, offset))
+                rows += [(asked.ids[q], i, copies, offset, wrong, -n) for q, (wrong, n, offset) in best.items()]
+        return _batches(rows, MATCHES)
+
+    return run
 
 
 def align(prints: DataFrame, every: int = 20, errors: float = 0.2, overlap: int = 32) -> DataFrame:
     """prints with is_query, n_matches, best_match, best_offset and best_errors.
 
-    Queries are the rows whose id is divisible by every, against all rows. Recordings with equal codes are one; distinct
-    ones are compared at each offset (of at least overlap codes in common) that puts a code beside an equal one (in a run of equal codes, its ends): a match
-    has at most errors different bits there, and counts at the offset of least errors, then the longest overlap, then
-    the smaller offset. Matches without a single equal code are not found.
-    n_matches counts all other recordings matched, copies included; best_match is that of least errors, then least id.
-    Rows with a null id or no codes match nothing. Empty table: empty result."""
+    Queries are the rows whose id is divisible by every; blocks of them meet all rows, part by part, so that all votes of
+    two recordings meet in one task. Recordings with equal codes are one. Others are compared at each offset (of at least overlap codes in common) of the histogram of places with an equal key (of a
+    run of equal keys, its ends): a match has at most errors different bits there, and counts at the offset of least
+    errors, then the longest overlap, then the smaller offset. Matches that share no key at their offset are not found
+    (README has the recall).
+    n_matches counts all other recordings matched, copies included, repeated rows of an id once; best_match is that of
+    least errors, then least id. Rows with a null id or no codes match nothing. Empty table: empty result."""
     whole = prints.withColumn("fp", F.sha2("codes", 256))
-    groups = whole.where("n_codes > 0 AND id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max((F.col("id") % every == 0).cast("int")).alias("asked"), F.max("id").alias("last"))
+    known = whole.where("n_codes > 0 AND id IS NOT NULL").select("fp", "id").distinct()
+    groups = known.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max((F.col("id") % every == 0).cast("int")).alias("asked"))
+    second = known.join(groups.where("copies > 1"), "fp").where("id > rep").groupBy("fp").agg(F.min("id").alias("second"))
+    groups = stored(groups.join(second, "fp", "left"), "groups")
     reps = stored(whole.join(groups.select("fp", "rep", "asked", "copies"), "fp").where("id = rep").dropDuplicates(["id"]).select("id", "codes", "asked", "copies"), "recordings")
-    keys = reps.select("id", "codes").mapInArrow(_keys, "id long, key int, at int, size int")
-    asked = reps.where("asked = 1").select("id", "codes").mapInArrow(_keys, "id long, key int, at int, size int").select(F.col("id").alias("q"), "key", F.col("at").alias("q_at"), F.col("size").alias("q_size"))
-    pairs = asked.join(keys, "key").where("q <> id").select("q", "id", (F.col("q_at") - F.col("at")).alias("offset"), "q_size", "size")
-    pairs = pairs.where(F.least(F.col("q_size") - F.greatest("offset", F.lit(0)), F.col("size") + F.least("offset", F.lit(0))) >= overlap).select("q", "id", "offset")
-    places = pairs.repartition("id").dropDuplicates(["q", "id", "offset"])
-    sides = places.join(reps.select("id", F.col("codes").alias("b"), "copies"), "id").join(reps.where("asked = 1").select(F.col("id").alias("q"), F.col("codes").alias("a")), "q")
-
-    def verify(batches):
-        for batch in batches:
-            found = [bit_errors(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4"), o) for a, b, o in zip(batch.column("a"), batch.column("b"), batch.column("offset").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("id"), batch.column("copies"), batch.column("offset"), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())], ["q", "id", "copies", "offset", "errors", "overlap"])
-
-    matches = sides.select("q", "id", "copies", "offset", "a", "b").mapInArrow(verify, "q long, id long, copies long, offset int, errors double, overlap long")
-    matches = matches.where((F.col("errors") <= errors) & (F.col("overlap") >= overlap))
-    matches = matches.groupBy("q", "id").agg(F.first("copies").alias("copies"), F.min_by(F.struct("offset", "errors"), F.struct("errors", -F.col("overlap"), "offset")).alias("at")).select("q", "id", "copies", "at.*")
+    queries = reps.where("asked = 1")
+    size = lambda df: df.agg(F.coalesce(F.sum(F.octet_length("codes").cast("long")), F.lit(0))).first()[0]
+    parts = max(-(-size(reps) // PART_BYTES), reps.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, -(-size(queries) // BLOCK_BYTES))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = reps.select(dealt(parts, 1).alias("part"), each(blocks).alias("block"), "id", "codes", "copies")
+    right = queries.select(each(parts).alias("part"), dealt(blocks, 2).alias("block"), F.col("id").alias("q"), F.col("codes").alias("q_codes"))
+    meeting = left.groupBy("part", "block").cogroup(right.groupBy("part", "block"))
+    matches = meeting.applyInArrow(_meet(errors, overlap), "q long, id long, copies long, offset int, errors double, overlap long")
     best = matches.groupBy(F.col("q").alias("rep")).agg(F.sum("copies").alias("others"), F.min_by(F.struct("id", "offset", "errors"), F.struct("errors", "id")).alias("near"))
-    out = whole.join(groups.select("fp", "rep", "copies", "last"), "fp", "left").join(best, "rep", "left")
+    out = whole.join(groups.select("fp", "rep", "copies", "second"), "fp", "left").join(best, "rep", "left")
     query_row = (F.col("id") % every == 0) & F.col("rep").isNotNull()
-    twin = F.when(F.col("rep") != F.col("id"), F.col("rep")).when(F.col("last") != F.col("id"), F.col("last"))
+    twin = F.when(F.col("rep") != F.col("id"), F.col("rep")).otherwise(F.col("second"))
     return out.select(
         "id", "n_codes", "fp", F.coalesce(query_row, F.lit(False)).alias("is_query"),
         F.when(query_row, F.coalesce("others", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("long").alias("n_matches"),

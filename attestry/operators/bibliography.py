@@ -7,12 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
+from .boundary import cut
 from .claims import citation_keys
 
 # fixed values: required fields, weights and thresholds
 REQUIRED = {"article": ["author", "title", "journal", "year"], "book": ["author", "title", "publisher", "year"], "incollection": ["author", "title", "booktitle", "publisher", "year"], "inproceedings": ["author", "title", "booktitle", "year"], "phdthesis": ["author", "title", "school", "year"], "techreport": ["author", "title", "institution", "year"], "misc": ["title", "year"]}
 TITLE_WEIGHT, YEAR_WEIGHT, AUTHOR_WEIGHT, DOI_WEIGHT = 0.68, 0.12, 0.10, 0.10
 VERIFIED, MISMATCH, ALIGNED = 0.82, 0.55, 0.55
+NO_HIT = "No external metadata hit found."
 
 
 def tex_keys(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -61,26 +63,23 @@ def trusted_sources(sources: DataFrame, entries: DataFrame) -> DataFrame:
 def align_sources(sources: DataFrame, entries: DataFrame) -> DataFrame:
     """sources with the citation key and title of the entry whose title they cover best, each entry used once.
 
-    Candidates come from a join on title tokens. The assignment is greedy in the order of path, so it depends on what is
-    taken already; it runs over the candidates above the threshold alone, one row for each, in one group."""
+    Candidates come from a join on title tokens. Sources choose in the order of path, each the best entry left, which
+    is the one stable matching when every entry prefers the earlier source: in rounds, each source asks for its best
+    entry, entries keep the earliest that asks, and the others lose that entry. No round gathers more than a key's rows."""
     titles = entries.select("key", "entry_ord", F.try_element_at("fields", F.lit("title")).alias("entry_title"))
     titles = titles.withColumn("t", F.array_distinct(tokens(F.col("entry_title")))).where(F.size("t") > 0)
     left = sources.select("source_id", F.explode(F.array_distinct(tokens(F.coalesce("title", "source_id")))).alias("token"))
     pairs = left.join(titles.select("key", F.size("t").alias("n"), F.explode("t").alias("token")), "token").groupBy("source_id", "key", "n").count()
     pairs = pairs.withColumn("score", F.col("count") / F.col("n")).where(F.col("score") >= ALIGNED)
-    ordered = pairs.join(sources.select("source_id", "path"), "source_id").join(titles.select("key", "entry_ord", "entry_title"), "key")
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, own in pdf.sort_values(["path", "source_id"]).groupby(["path", "source_id"], sort=True):
-            free = own[~own["key"].isin(used)].sort_values(["score", "entry_ord"], ascending=[False, True])
-            if len(free):
-                used.add(free.iloc[0]["key"])
-                out.append(free.iloc[[0]])
-        return pd.concat(out)[["source_id", "key", "entry_title"]] if out else pdf.head(0)[["source_id", "key", "entry_title"]]
-
-    chosen = ordered.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda pdf: take(pdf), "source_id string, key string, entry_title string")
-    out = sources.join(chosen, "source_id", "left")
+    pairs = cut(pairs.join(sources.select("source_id", "path"), "source_id").join(titles.select("key", "entry_ord", "entry_title"), "key"), "alignable")
+    while True:
+        asks = pairs.groupBy("source_id").agg(F.max_by(F.struct("key", "path", "entry_title"), F.struct(F.col("score"), -F.col("entry_ord"))).alias("a")).select("source_id", "a.*")
+        kept = asks.groupBy("key").agg(F.min(F.struct("path", "source_id")).alias("k")).select("key", F.col("k.source_id").alias("source_id"))
+        lost = cut(asks.join(kept, ["source_id", "key"], "left_anti").select("source_id", "key"), "lost")
+        if lost.isEmpty():
+            break
+        pairs = cut(pairs.join(lost, ["source_id", "key"], "left_anti"), "alignable")
+    out = sources.join(asks.select("source_id", "key", "entry_title"), "source_id", "left")
     return out.withColumns({"citation_key": F.coalesce("key", "citation_key"), "title": F.coalesce("entry_title", "title")}).drop("key", "entry_title")
 
 
@@ -111,7 +110,8 @@ def score_metadata(pairs: DataFrame) -> DataFrame:
     a, b = _norm(field("title")), _norm(rec("title"))
     x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
     jaccard = F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
-    title = F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(jaccard, sequence_ratio(a, b)))
+    same = (a == "") | (b == "") | (jaccard >= 1)  # the ratio can't add to these
+    title = F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(jaccard, sequence_ratio(F.when(~same, a), F.when(~same, b))))
     doi = lambda d: strip(F.replace(F.lower(d), F.lit("https://doi.org/"), F.lit("")))
     alike = lambda p, q, same: F.when((p == "") | (q == ""), F.lit(0.5)).when(same, F.lit(1.0)).otherwise(F.lit(0.0))
     ours, theirs = _last_names(F.split(field("author"), r"\s+and\s+")), _last_names(F.coalesce(F.col("record")["authors"], F.array().cast("array<string>")))
@@ -125,16 +125,24 @@ def score_metadata(pairs: DataFrame) -> DataFrame:
 def verify_metadata(entries: DataFrame, records: DataFrame) -> DataFrame:
     """A status for each entry (key, fields) from records fetched for it: key, provider_ord, record_ord, provider, record.
 
-    The best score counts, the earlier record on ties; an entry without title and DOI is skipped."""
-    scored = score_metadata(entries.select("key", "fields").join(records, "key"))
+    The best score counts, the earlier record on ties; an entry without title and DOI is skipped. Records may say error,
+    with a null record where a service failed or had nothing: an entry that no record was found for is then in error if a
+    service failed, and api_calls counts the services asked."""
+    if "error" not in records.columns:
+        records = records.withColumn("error", F.lit(None).cast("string"))
+    scored = score_metadata(entries.select("key", "fields").join(records.where("record IS NOT NULL"), "key"))
     best = scored.groupBy("key").agg(F.max_by(F.struct("score", "provider", "record", "title_score", "year_score", "author_score", "doi_score"), F.struct(F.col("score"), -F.col("provider_ord"), -F.col("record_ord"))).alias("b"))
+    failed = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("provider_ord", F.concat_ws(": ", "provider", "error").alias("said")))))
+    asked = records.groupBy("key").agg(F.count_distinct("provider_ord").cast("int").alias("calls"), F.array_join(failed["said"], "; ").alias("failed"))
     field = lambda n: F.coalesce(F.try_element_at("fields", F.lit(n)), F.lit(""))
-    out = entries.select("key", "fields").join(best, "key", "left")
-    skip, s = (field("title") == "") & (field("doi") == ""), F.col("b.score")
-    status = F.when(skip, "skipped").when(s.isNull(), "not_found").when(s >= VERIFIED, "verified").when(s >= MISMATCH, "mismatch").otherwise("not_found")
+    out = entries.select("key", "fields").join(best, "key", "left").join(asked, "key", "left")
+    skip, s, failure = (field("title") == "") & (field("doi") == ""), F.col("b.score"), F.coalesce(F.col("failed"), F.lit("")) != ""
+    status = F.when(skip, "skipped").when(s.isNull(), F.when(failure, "error").otherwise("not_found")).when(s >= VERIFIED, "verified").when(s >= MISMATCH, "mismatch").otherwise("not_found")
+    nothing = F.when(failure, F.concat(F.lit(NO_HIT + " Provider errors: "), "failed")).otherwise(NO_HIT)
     reason = F.format_string("title=%.2f, year=%.2f, authors=%.2f, doi=%.2f", "b.title_score", "b.year_score", "b.author_score", "b.doi_score")
-    reason = F.when(skip, "Entry has neither title nor DOI.").when(s.isNull(), "No external metadata hit found.").otherwise(reason)
-    return out.select("key", status.alias("status"), F.when(skip | s.isNull(), F.lit(0.0)).otherwise(F.bround(s, 3)).alias("confidence"), reason.alias("reason"), "b.provider", F.col("b.record.title").alias("matched_title"), F.col("b.record.year").alias("matched_year"), F.col("b.record.doi").alias("matched_doi"))
+    reason = F.when(skip, "Entry has neither title nor DOI.").when(s.isNull(), nothing).otherwise(reason)
+    calls = F.when(skip, 0).otherwise(F.coalesce("calls", F.lit(0))).alias("api_calls")
+    return out.select("key", status.alias("status"), F.when(skip | s.isNull(), F.lit(0.0)).otherwise(F.bround(s, 3)).alias("confidence"), reason.alias("reason"), "b.provider", F.col("b.record.title").alias("matched_title"), F.col("b.record.year").alias("matched_year"), F.col("b.record.doi").alias("matched_doi"), calls)
 
 
 def hallmark_labels(checks: DataFrame) -> DataFrame:

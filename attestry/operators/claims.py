@@ -20,7 +20,8 @@ SCOPE_SUFFIX = r"^[,;:]?\s*(?:across|for|in|of|on|to|under|with)\b"
 NAMED_SOURCE = r"(\b(?:an?|the)\s+(?:[A-Za-z-]+\s+){0,4}(?:benchmark|collection|corpus|dataset))\s*\(\s*([^()\\]+?)\s*~?\s*(\\cite[a-zA-Z*]*\{[^}]+\})\s*\)"
 PREDICATE = r"\b(?:achieves?|are|captures?|computes?|contains?|covers?|defines?|has|have|evaluate(?:d|s)?|improves?|increases?|introduce(?:d|s)?|is|outperforms?|predict(?:ed|s)?|provides?|reduces?|requires?|shows?|spans?|trains?|uses?|was|were)\b"
 ENVIRONMENTS = ["abstract", "comment", "equation", "figure", "figure*", "IEEEkeywords", "table", "table*", "tabular", "tikzpicture"]
-UNWRAP = r"\\(?:emph|textbf|textit|texttt|underline)\{([^{}]*)\}"
+UNWRAP_HEAD = r"\\(?:emph|textbf|textit|texttt|underline)\{"
+UNWRAP = UNWRAP_HEAD + r"([^{}]*)\}"
 LATEX_NOISE = [
     r"\\documentclass(?:\[[^\]]*\])?\{[^}]+\}",
     r"\\usepackage(?:\[[^\]]*\])?\{[^}]+\}",
@@ -32,13 +33,12 @@ LATEX_NOISE = [
     r"\\(?!cite)[A-Za-z]+\*?(?:\[[^\]]*\])?",
 ]
 CHECKABLE = "captures?|computes?|contains?|decreases?|improves?|increases?|outperforms?|provides?|reduces?|solves?|spans?|trains?|uses?"
-UNWRAP_DEPTH = 6
 
 
 def prepared(text: Column) -> Column:
     """A draft without headings, comments, dropped environments and markup, white space squeezed.
 
-    Formatting commands are unwrapped UNWRAP_DEPTH deep; a deeper one falls to the rule for all commands."""
+    Formatting commands are unwrapped from within until none is left: no text needs more turns than it has commands."""
     lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
     lines = F.filter(lines, lambda x: ~strip(x).startswith("#"))
     lines = F.transform(lines, lambda x: F.regexp_replace(x, r"(?<!\\)((?:\\\\)*)%.*$", "$1"))
@@ -46,8 +46,8 @@ def prepared(text: Column) -> Column:
     for name in ENVIRONMENTS:
         quoted = name.replace("*", r"\*")
         out = F.regexp_replace(out, rf"(?s)\\begin\{{{quoted}\}}.*?\\end\{{{quoted}\}}", " ")
-    for _ in range(UNWRAP_DEPTH):
-        out = F.regexp_replace(out, UNWRAP, "$1")
+    turns = F.sequence(F.lit(0), F.regexp_count(out, F.lit(UNWRAP_HEAD)))
+    out = F.aggregate(turns, out, lambda t, _: F.when(t.rlike(UNWRAP), F.regexp_replace(t, UNWRAP, "$1")).otherwise(t))
     out = reduce(lambda t, p: F.regexp_replace(t, p, " "), LATEX_NOISE, out)
     return F.regexp_replace(out, r"(?U)\s+", " ")
 

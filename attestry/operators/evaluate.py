@@ -106,9 +106,14 @@ def rank_methods(summary: DataFrame, *keys: str) -> DataFrame:
 
 
 def match_expected(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expected cases with the one verified claim that contains their text; none or several is an error."""
+    """Expected cases with the one verified claim that contains their text; none or several is an error.
+
+    Other columns of results come along. Expected cases are a hand-made list, so the substring join takes them as the
+    broadcast side where they are small; what Spark estimates as larger it pairs in blocks."""
+    rest = [c for c in results.columns if c not in ("claim", "label", "failure_mode", *expected.columns)]
+    one = lambda c, name: F.first(F.col(c), ignorenulls=True).alias(name)
     met = expected.join(results, F.col("claim").contains(F.col("claim_contains")), "left")
-    found = met.groupBy(*[expected[c] for c in expected.columns]).agg(F.count("claim").alias("__n"), F.first("claim", ignorenulls=True).alias("claim"), F.first("label", ignorenulls=True).alias("predicted"), F.first("failure_mode", ignorenulls=True).alias("predicted_mode"))
+    found = met.groupBy(*[expected[c] for c in expected.columns]).agg(F.count("claim").alias("__n"), one("claim", "claim"), one("label", "predicted"), one("failure_mode", "predicted_mode"), *[one(c, c) for c in rest])
     ok = F.when(F.col("__n") == 1, F.col("claim")).otherwise(F.raise_error(F.concat(F.lit("expected claim matches "), F.col("__n").cast("string"), F.lit(" claims: "), "claim_contains")).cast("string"))
     return found.withColumn("claim", ok).drop("__n")
 

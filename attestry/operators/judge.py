@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,8 +79,13 @@ def hedge_only(findings: Column) -> Column:
 
 def judge_pairs(pairs: DataFrame, claim: str = "claim", evidence: str = "evidence") -> DataFrame:
     """pairs with fact_label, findings and heuristic, a struct of label, confidence, reason and mode."""
+    return _judging(claim, evidence, lenses.session_key()).on(pairs)
+
+
+@lru_cache(8)
+def _judging(claim: str, evidence: str, session: str) -> lenses.Recipe:
     c, e = F.col(claim), F.col(evidence)
-    out = pairs.withColumn("__ov", coverage(expanded_tokens(c), expanded_tokens(e)))
+    out = lenses.Recipe().withColumn("__ov", coverage(expanded_tokens(c), expanded_tokens(e)))
     out = out.withColumns({"__survey": survey_support(c, e), "__semantic": semantic_support(c, e, F.col("__ov")), "__resource": claims_resource(c), "__polarity": polarity_conflict(c, e), "__number": number_conflict(c, e), "__gap": has(c, UNIVERSAL_CLAIM) & has(e, SCOPED_EVIDENCE)})
     out = out.withColumn("__semantic", F.col("__semantic") | F.col("__survey"))
     out = lenses.inspect(out, claim, evidence)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SCHEMA = "struct<label:string,confidence:double,reason:string,mode:string>"
 #: A model's label below this confidence counts as uncertain.
 FLOOR = 0.55
+#: Parts of a model's label names and what they stand for.
+KINDS = {"entail": "entailment", "contrad": "contradiction", "neutral": "neutral"}
 NAMES = {"entailment": "supported", "entails": "supported", "contradiction": "contradicted", "neutral": "unsupported"}
 
 
@@ -41,6 +43,32 @@ def opinion(load: Callable[[], Callable[[list[tuple[str, str]]], list[tuple[str,
     return attach
 
 
+def transformers_model(name: str) -> Callable[[], Callable[[list[tuple[str, str]]], list[tuple[str, float]]]]:
+    """A loader for opinion(): a sequence-pair classifier of the transformers library, where that is installed."""
+
+    def load():
+        import torch
+        from transformers import AutoModelForSequenceClassification, AutoTokenizer
+
+        tokenizer, model = AutoTokenizer.from_pretrained(name), AutoModelForSequenceClassification.from_pretrained(name).eval()
+        kinds = {i: next((k for part, k in KINDS.items() if part in label.lower()), label.lower()) for i, label in model.config.id2label.items()}
+        if set(KINDS.values()) - set(kinds.values()):
+            raise ValueError(f"the model's labels must be {sorted(KINDS.values())}")
+
+        def classify(pairs: list[tuple[str, str]]) -> list[tuple[str, float]]:
+            out = []
+            for evidence, claim in pairs:
+                with torch.inference_mode():
+                    shares = torch.softmax(model(**tokenizer(evidence, claim, return_tensors="pt", truncation=True, max_length=512)).logits[0], dim=-1)
+                best = int(shares.argmax())
+                out.append((kinds[best], round(float(shares[best]), 3)))
+            return out
+
+        return classify
+
+    return load
+
+
 def agreement(judged: DataFrame) -> DataFrame:
     """How often heuristic and model say the same, by label."""
     return judged.groupBy(F.col("heuristic.label").alias("heuristic"), F.col("nli.label").alias("nli")).agg(F.count("*").alias("n"))

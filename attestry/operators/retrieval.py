@@ -12,6 +12,8 @@ from .support import metric_support, survey_claim, survey_evidence, survey_suppo
 ANCHOR_BONUS, SURVEY_BONUS = 0.25, 0.6
 CONFLICT_RERANK, METRIC_RERANK, SURVEY_RERANK = 0.22, 0.3, 0.4
 CHUNK_LIMIT, WINDOW_LIMIT, MIN_SCORE = 8, 5, 0.08
+#: Before the names of survey rules in the index; no token holds it.
+RULE_MARK = "#"
 ANCHOR = r"\b(?:[A-Z]+[A-Za-z0-9.-]*\d+[A-Za-z0-9.-]*|[A-Z][A-Za-z]*[A-Z][A-Za-z0-9.]*|[A-Z][a-z]+[A-Z][A-Za-z0-9.]*|[A-Z]{3,}[A-Za-z0-9.-]*)\b"
 CONFLICT_CUE = r"\b(unchanged|no\s+change|no\s+difference|no\s+improvement|no\s+reduction|does\s+not\s+improve|did\s+not\s+improve|failed\s+to\s+improve|not\s+statistically\s+significant|comparable\s+to|equivalent\s+to|worse\s+than)\b"
 IDENTITY = r"^(.+?)\s+is\s+(?:an?|the)\s+.+\b(?:benchmark|collection|corpus|dataset)\b"
@@ -48,28 +50,21 @@ def retrieve(claims: DataFrame, chunk_rows: DataFrame, limit: int = CHUNK_LIMIT)
     """The best chunks of each claim: n_shared, n_claim, n_chunk, chunk_score, chunk_rank. Ties go to the earlier chunk.
 
     claims: claim_id, claim, citation_keys. An inverted index: claims meet chunks on tokens, on the tokens of their
-    names, and on the survey rules that both sides meet; claims with keys meet their sources' chunks only. Tokens, names
-    and rules are found once for each text, and texts join again only what is ranked."""
-    side = claims.select("claim_id", "citation_keys", expanded_tokens(F.col("claim")).alias("t"), anchors(F.col("claim")).alias("a"), survey_claim(F.col("claim")).alias("s"))
-    rows = chunk_rows.select("chunk_id", "citation_key", expanded_tokens(F.col("chunk")).alias("t"), survey_evidence(F.col("chunk")).alias("s"))
-    index = rows.select("chunk_id", "citation_key", F.size("t").alias("n_chunk"), F.explode("t").alias("on"))
-    rules = rows.select("chunk_id", "citation_key", F.size("t").alias("n_chunk"), F.explode("s").alias("on"))
-    keyed = side.where(F.size("citation_keys") > 0).withColumn("citation_key", F.explode(F.array_distinct("citation_keys")))
-    free = side.where(F.size("citation_keys") == 0)
-    none = F.lit(0).cast("long")
-
-    def met(part, right, shared, names, survey):
-        cols = ["claim_id", "n_claim", F.explode(part).alias("on")]
-        counted = [shared.alias("n_shared"), names.alias("n_names"), survey.alias("n_survey")]
-        pick = lambda df, on: df.withColumn("n_claim", F.size("t")).select(*cols, *[c for c in on if c != "on"]).join(right, on).select("claim_id", "chunk_id", "n_claim", "n_chunk", *counted)
-        return pick(keyed, ["citation_key", "on"]).unionByName(pick(free, ["on"]))
-
-    one = F.lit(1).cast("long")
-    pairs = met("t", index, one, none, none).unionByName(met("a", index, none, one, none)).unionByName(met("s", rules, none, none, one))
-    pairs = pairs.groupBy("claim_id", "chunk_id", "n_claim", "n_chunk").agg(F.sum("n_shared").alias("n_shared"), F.sum("n_names").alias("n_names"), F.max("n_survey").alias("n_survey"))
+    names, and on the survey rules that both sides meet, all three in one index; claims with keys meet their sources' chunks
+    only. What orders equal scores is in the index, so texts join again only the chunks that are kept."""
+    marked = lambda rules: F.transform(rules, lambda r: F.concat(F.lit(RULE_MARK), r.cast("string")))
+    side = claims.select("claim_id", "citation_keys", expanded_tokens(F.col("claim")).alias("t"), anchors(F.col("claim")).alias("a"), marked(survey_claim(F.col("claim"))).alias("s"))
+    side = side.select("claim_id", "citation_keys", "t", "a", F.size("t").alias("n_claim"), F.explode(F.array_union(F.array_union("t", "a"), "s")).alias("on"))
+    side = side.select("claim_id", "citation_keys", "n_claim", "on", F.array_contains("t", F.col("on")).cast("long").alias("in_t"), F.array_contains("a", F.col("on")).cast("long").alias("in_a"))
+    rows = chunk_rows.select("chunk_id", "citation_key", "source_id", "chunk_ord", expanded_tokens(F.col("chunk")).alias("t"), marked(survey_evidence(F.col("chunk"))).alias("s"))
+    index = rows.select("chunk_id", "citation_key", "source_id", "chunk_ord", F.size("t").alias("n_chunk"), F.explode(F.concat("t", "s")).alias("on"))
+    keyed = side.where(F.size("citation_keys") > 0).withColumn("citation_key", F.explode(F.array_distinct("citation_keys"))).drop("citation_keys")
+    free = side.where(F.size("citation_keys") == 0).drop("citation_keys")
+    pairs = keyed.join(index, ["citation_key", "on"]).drop("citation_key").unionByName(free.join(index.drop("citation_key"), "on"))
+    rule = F.col("on").startswith(RULE_MARK).cast("long")
+    pairs = pairs.groupBy("claim_id", "chunk_id", "source_id", "chunk_ord", "n_claim", "n_chunk").agg(F.sum("in_t").alias("n_shared"), F.sum("in_a").alias("n_names"), F.max(rule).alias("n_survey"))
     score = F.col("n_shared") / F.sqrt(F.col("n_claim").cast("double") * F.col("n_chunk")) + ANCHOR_BONUS * F.col("n_names") + SURVEY_BONUS * F.col("n_survey")
     scored = pairs.withColumn("chunk_score", F.bround(score, 4)).where("chunk_score > 0").drop("n_names", "n_survey")
-    scored = scored.join(chunk_rows.select("chunk_id", "source_id", "chunk_ord"), "chunk_id")
     order = Window.partitionBy("claim_id").orderBy(F.desc("chunk_score"), "source_id", "chunk_ord")
     best = scored.withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= limit).drop("source_id", "chunk_ord")
     return best.join(claims.select("claim_id", "claim"), "claim_id").join(chunk_rows, "chunk_id")

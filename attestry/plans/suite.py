@@ -9,18 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bibliography as bib
+from ..operators import chat
 from ..operators import evaluate as ev
 from ..operators.claims import parse_claims
 from ..operators.judge import adjudicate_pairs, judge_pairs
 from ..operators.retrieval import build_chunks
 from ..sources import readers
-from .verify import verify
-
-
-def predict(cases: DataFrame, method: str = "full", nli=None) -> DataFrame:
-    """cases (id, claim, evidence) with predicted, confidence and predicted_mode by a method: full, heuristic or lexical.
-
-    nli: see adjudicate_pairs; with it, "full" is the method with a model's opinion."""
+from .verify import trace_totals, verify
+
+
+#: What each method is, and what it needs besides the cases.
+METHODS = {
+    "full": ("Atoms, deterministic gates and the ladder of verdicts, with a model's opinion where one is given.", []),
+    "heuristic": ("The pair judge alone, without atoms.", []),
+    "lexical": ("Token overlap alone.", []),
+    "nli": ("A model's opinion alone.", ["nli"]),
+    "raw-llm": ("A chat model's answer alone.", ["send, or the endpoint's key"]),
+}
+
+
+def predict(cases: DataFrame, method: str = "full", nli=None, send=None) -> DataFrame:
+    """cases (id, claim, evidence) with predicted, confidence and predicted_mode by one of METHODS.
+
+    nli: see adjudicate_pairs; send: see chat.classified."""
+    none = F.lit(None).cast("string").alias("predicted_mode")
+    if method == "nli":
+        if nli is None:
+            raise ValueError("the nli method needs a model")
+        return nli(cases).select(*cases.columns, F.col("nli.label").alias("predicted"), F.col("nli.confidence").alias("confidence"), none)
+    if method == "raw-llm":
+        return chat.classified(cases, send).select(*cases.columns, "predicted", "confidence", none)
     if method == "lexical":
         out = ev.lexical_baseline(cases)
         sure = F.when(F.col("predicted") == "unsupported", F.lit(0.35)).otherwise(F.col("coverage"))
@@ -64,9 +82,9 @@ def run_suite(spark: SparkSession, manifest_path: str, method: str = "full") ->
     return {"results": results, "summaries": levels, "failures": ev.redacted(results), "gates": gates}
 
 
-def compare_methods(cases: DataFrame, methods: tuple[str, ...] = ("full", "heuristic", "lexical"), *keys: str) -> DataFrame:
+def compare_methods(cases: DataFrame, methods: tuple[str, ...] = ("full", "heuristic", "lexical"), *keys: str, nli=None, send=None) -> DataFrame:
     """Metrics and rank of each method over the same cases."""
-    parts = [ev.summarize(predict(cases, m), *keys).drop("confusion").withColumn("method", F.lit(m)) for m in methods]
+    parts = [ev.summarize(predict(cases, m, nli, send), *keys).drop("confusion").withColumn("method", F.lit(m)) for m in methods]
     return ev.rank_methods(reduce(DataFrame.unionByName, parts), *keys)
 
 
@@ -78,9 +96,15 @@ def verify_drafts(drafts: DataFrame, sources: DataFrame, nli=None) -> DataFrame:
     return verify(claims.select("claim_id", "claim", "citation_keys"), build_chunks(sources), nli)
 
 
-def run_draft_eval(drafts: DataFrame, sources: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cases, summary) of a draft's verdicts against expected labels, matched by text."""
-    matched = ev.match_expected(verify_drafts(drafts, sources), expected)
+def run_draft_eval(drafts: DataFrame, sources: DataFrame, expected: DataFrame, entries: DataFrame | None = None, nli=None) -> tuple[DataFrame, DataFrame]:
+    """(cases, summary) of a draft's verdicts against expected labels, matched by text; cases have the totals of the
+    verdicts' traces.
+
+    entries: a bibliography. With it, only sources that carry the title of one of its entries count, under that entry's
+    key, so that a claim that cites anything else is uncertain."""
+    if entries is not None:
+        sources = bib.trusted_sources(bib.align_sources(sources, entries), entries)
+    matched = ev.match_expected(trace_totals(verify_drafts(drafts, sources, nli)), expected)
     results = ev.case_results(matched)
     return results, ev.summarize(results)
 
@@ -92,4 +116,5 @@ def verify_paper(tex: DataFrame, bibtex: DataFrame, sources: DataFrame) -> dict[
     entries = readers.bibtex_entries(bibtex)
     report = bib.bibliography_report(bib.tex_keys(tex), entries)
     trusted = bib.trusted_sources(bib.align_sources(sources, entries), entries)
-    return {"bibliography": report, "results": verify_drafts(tex, trusted), "sources": trusted}
+    mapping = sources.agg(F.count("*").alias("loaded")).crossJoin(trusted.agg(F.count_distinct("citation_key").alias("mapped")))  # a row each
+    return {"bibliography": report, "results": verify_drafts(tex, trusted), "sources": trusted, "mapping": mapping}

@@ -57,3 +57,14 @@ def verify(claims: DataFrame, chunks: DataFrame, nli=None) -> DataFrame:
         F.col("final.reason").alias("reason"), F.col("final.mode").alias("failure_mode"), F.when(F.col("missing"), "source_not_resolved").otherwise("passed").alias("source_gate"),
         review_action(F.col("final.mode")).alias("review_action"), "atoms",
     )
+
+
+TOTALS = ["candidate_count", "support_candidate_count", "contradiction_candidate_count", "best_support_rank", "best_contradiction_rank"]
+
+
+def trace_totals(results: DataFrame) -> DataFrame:
+    """verify() output with the counts of its atoms added up and their best ranks."""
+    total = lambda name: F.coalesce(F.aggregate(F.transform("atoms", lambda a: a[name].cast("long")), F.lit(0).cast("long"), lambda x, y: x + y), F.lit(0).cast("long"))
+    best = lambda name: F.array_min(F.transform("atoms", lambda a: a[name]))
+    values = [total("candidates"), total("support_candidates"), total("contradiction_candidates"), best("best_support_rank"), best("best_contradiction_rank")]
+    return results.withColumns(dict(zip(TOTALS, values, strict=True)))

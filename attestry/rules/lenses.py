@@ -5,6 +5,7 @@ tables; rules of slots pair values of both sides with higher-order functions, so
 
 from __future__ import annotations
 
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,14 +18,47 @@ from .quantities import before, bound, quantities
 NONE = "array<string>"
 
 
-#: Columns that hold what several rules use, while inspect() builds them: (what, texts) -> Column.
-_held: dict[tuple[str, ...], Column] = {}
+#: Columns that hold what several rules use, while a thread's inspect() builds them: (what, texts) -> Column.
+_held: ContextVar[dict[tuple[str, ...], Column] | None] = ContextVar("held", default=None)
 
 
 def held(what: str, build, *texts: Column) -> Column:
     """The column that holds build(*texts), or the expression itself where none does."""
-    key = (what, *map(str, texts))
-    return _held[key] if key in _held else build(*texts)
+    known = _held.get()
+    key = (what, *map(str, texts)) if known else None
+    return known[key] if known and key in known else build(*texts)
+
+
+class Recipe:
+    """Steps of columns that are built once and taken on any frame that has the texts' columns.
+
+    A rule is hundreds of expressions, and each is a call into the JVM: building them costs more than planning them."""
+
+    def __init__(self):
+        self.steps: list[tuple[str, tuple]] = []
+
+    def withColumns(self, columns: dict[str, Column]) -> Recipe:  # noqa: N802  as a frame has it
+        self.steps.append(("withColumns", (columns,)))
+        return self
+
+    def withColumn(self, name: str, column: Column) -> Recipe:  # noqa: N802
+        return self.withColumns({name: column})
+
+    def drop(self, *names: str) -> Recipe:
+        self.steps.append(("drop", names))
+        return self
+
+    def on(self, df: DataFrame) -> DataFrame:
+        for step, args in self.steps:
+            df = getattr(df, step)(*args)
+        return df
+
+
+def session_key() -> str:
+    """Names the application whose JVM built columns belong to."""
+    from pyspark import SparkContext
+
+    return SparkContext.getOrCreate().applicationId
 
 
 def none() -> Column:
@@ -758,13 +792,14 @@ def inspect(pairs_df: DataFrame, claim: str = "claim", evidence: str = "evidence
         """df with what several rules use as columns; they find it under its name."""
         df = df.withColumns({f"__h_{k}": column for k, (column, _) in columns.items()})
         for k, (_, key) in columns.items():
-            _held[key] = F.col(f"__h_{k}")
+            _held.get()[key] = F.col(f"__h_{k}")
             kept.append(f"__h_{k}")
         return df
 
     sides = (("c", c), ("e", e))
     per_text = lambda what, build: {f"{what}_{s}": (build(t), (what, str(t))) for s, t in sides}
     per_pair = lambda what, build: {what: (build(c, e), (what, str(c), str(e)))}
+    before = _held.set({})
     try:
         out = hold(out, **per_text("quantities", quantities), **per_text("material", material), **per_text("p_values", p_values))
         gates = {"attribute_gate": attribute_gate, "technical_gate": technical_gate, "statistical_gate": statistical_gate, "protocol_gate": protocol_gate, "quality_gate": quality_gate, "outcome_gate": outcome_gate}
@@ -775,7 +810,7 @@ def inspect(pairs_df: DataFrame, claim: str = "claim", evidence: str = "evidence
         out = hold(out, **per_text("bounds", bounds), **parts)
         out = out.withColumns({f"__l_{n}": f(c, e) for n, f in CONFLICTS.items()} | {f"__t_{n}": f(c, e) for n, f in TENSIONS.items()} | {"__entity": entity(c, e), "__hedged": hedged(c, e), "__narrower": narrower(c, e)})
     finally:
-        _held.clear()
+        _held.reset(before)
     out = out.drop(*kept)
     out = out.withColumn("__l_direction", F.when(F.size("__mismatch") > 0, none()).otherwise(F.col("__l_direction")))
     out = out.withColumns({"__hard": F.concat(*names, "__turned"), "__soft": F.concat(*[f"__t_{n}" for n in TENSIONS])})

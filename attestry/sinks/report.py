@@ -11,6 +11,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.boundary import cut
+
 
 def ledger_json(results: DataFrame) -> DataFrame:
     """A JSON object for each claim, null fields kept."""
@@ -37,10 +39,21 @@ def claim_markdown(row_number: Column) -> Column:
 
 def ledger_markdown(results: DataFrame) -> DataFrame:
     """A Markdown section for each claim, in the order of claim_id."""
+    return numbered(results, "claim_id", "__n").select("claim_id", claim_markdown(F.col("__n")).alias("value")).orderBy("claim_id")
+
+
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows with their number in the order of a column: sorted by ranges, counted within a range, and the ranges' counts
+    added up, which are one row for each partition."""
     from pyspark.sql import Window
 
-    number = F.row_number().over(Window.orderBy("claim_id"))
-    return results.withColumn("__n", number).select("claim_id", claim_markdown(F.col("__n")).alias("value")).orderBy("claim_id")
+    placed = cut(rows.orderBy(by).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("__range", F.shiftright("__at", 33))
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__range", before.alias("__before"))
+    out = placed.join(F.broadcast(sizes), "__range").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1)
+    return out.drop("__at", "__range", "__before")
 
 
 def write_ledgers(results: DataFrame, path: str) -> None:
@@ -60,21 +73,60 @@ def bibliography_markdown(report: DataFrame) -> DataFrame:
     return report.select(F.concat(head, section("Missing", F.col("missing")), section("Unused", F.col("unused")), section("Incomplete", parts)).alias("value"))
 
 
-def paper_markdown(report: DataFrame, results: DataFrame) -> DataFrame:
-    """A paper's bibliography section, label histogram and claims as rows of text in order."""
+def bibliography_json(report: DataFrame) -> DataFrame:
+    """The bibliography report as a JSON object, null fields kept."""
+    return report.select(F.to_json(F.struct(*sorted(report.columns)), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def paper_json(parts: dict[str, DataFrame]) -> DataFrame:
+    """A paper's report (see verify_paper) as JSON lines: the mapping, the bibliography, the label counts, each claim."""
+    whole = lambda df: F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    named = lambda df, part, at: df.select(F.lit(part).alias("part"), at.cast("long").alias("ord"), whole(df).alias("value"))
+    counts = label_counts(parts["results"])
+    out = named(parts["mapping"], "mapping", F.lit(0)).unionByName(named(parts["bibliography"], "bibliography", F.lit(0)))
+    return out.unionByName(named(counts, "labels", F.lit(0))).unionByName(named(parts["results"], "claim", F.col("claim_id")))
+
+
+def paper_markdown(report: DataFrame, results: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """A paper's source mapping, bibliography section, label histogram and claims as rows of text in order."""
     counts = label_counts(results).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("- %s: %d", "label", "n"))), "\n").alias("v")).select(F.lit(1).alias("ord"), F.concat(F.lit("# Labels\n\n"), "v").alias("value"))
     claims = ledger_markdown(results).select((F.col("claim_id") + 2).alias("ord"), "value")
-    return bibliography_markdown(report).select(F.lit(0).alias("ord"), "value").unionByName(counts).unionByName(claims)
+    out = bibliography_markdown(report).select(F.lit(0).alias("ord"), "value").unionByName(counts).unionByName(claims)
+    if mapping is None:
+        return out
+    said = F.format_string("# Sources\n\n- Loaded: %d\n- Mapped to bibliography keys: %d", "loaded", "mapped")
+    return mapping.select(F.lit(-1).alias("ord"), said.alias("value")).unionByName(out)
 
 
-def dashboard(results: DataFrame, title: str = "Verdicts", rows: int = 1000) -> str:
-    """A self-contained page: counts of all claims and the first rows of them (the page's size is the parameter)."""
+def dashboard_parts(results: DataFrame, title: str = "Verdicts"):
+    """The pieces of a self-contained page: counts by label, a filter, and every claim with its evidence.
+
+    Claims come one partition at a time, so the driver never holds them all."""
+    name = escape.escape(title)
     counts = sorted((r["label"], r["n"]) for r in label_counts(results).collect())
-    shown = [r["value"] for r in ledger_json(results).orderBy("claim_id").limit(rows).collect()]
-    data = "[" + ",".join(shown).replace("</", "<\\/") + "]"
-    bars = "".join(f"<li>{escape.escape(k)}: {n}</li>" for k, n in counts)
-    script = "for(const r of JSON.parse(document.getElementById('d').textContent)){const e=document.createElement('li');e.textContent=r.label+': '+r.claim;document.getElementById('c').append(e)}"
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape.escape(title)}</title></head><body><h1>{escape.escape(title)}</h1><ul>{bars}</ul><ol id='c'></ol><script id='d' type='application/json'>{data}</script><script>{script}</script></body></html>"
+    bars = "".join(f"<button data-l='{escape.escape(k)}'>{escape.escape(k)}: {n}</button>" for k, n in counts)
+    yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{name}</title><style>body{{font-family:sans-serif;max-width:60em;margin:auto}}li{{margin:.6em 0}}small{{color:#555}}</style></head>"
+    yield f"<body><h1>{name}</h1><p><button data-l=''>all: {sum(n for _, n in counts)}</button>{bars}</p><ol id='c'></ol><script id='d' type='application/json'>["
+    comma = ""
+    for r in ledger_json(results).orderBy("claim_id").toLocalIterator():
+        yield comma + r["value"].replace("</", "<\\/")
+        comma = ","
+    yield "]</script><script>"
+    yield "const D=JSON.parse(document.getElementById('d').textContent),C=document.getElementById('c');"
+    yield "function show(l){C.replaceChildren();for(const r of D){if(l&&r.label!==l)continue;const e=document.createElement('li'),s=document.createElement('small');"
+    yield "e.textContent=r.label+': '+r.claim;const n=(r.atoms||[]).flatMap(a=>a.rationales||[]).map(x=>'['+x.source_id+'] '+x.text);"
+    yield "s.textContent=[r.reason,...n].filter(Boolean).join(' | ');e.append(document.createElement('br'),s);C.append(e)}}"
+    yield "for(const b of document.querySelectorAll('button'))b.onclick=()=>show(b.dataset.l);show('');</script></body></html>"
+
+
+def dashboard(results: DataFrame, title: str = "Verdicts") -> str:
+    """The page as one text; write_dashboard() doesn't hold it whole."""
+    return "".join(dashboard_parts(results, title))
+
+
+def write_dashboard(results: DataFrame, path: str, title: str = "Verdicts") -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(dashboard_parts(results, title))
 
 
 def draft_blocks(drafts: DataFrame, text: str = "text") -> DataFrame:
@@ -92,6 +144,17 @@ def annotated(blocks: DataFrame, bound: DataFrame, results: DataFrame) -> DataFr
     return blocks.join(marks, "block_ord", "left").select("block_ord", "heading", "text", F.concat_ws(" ", "text", F.when(F.size("m") > 0, badges)).alias("annotated"))
 
 
+def annotated_page(rows: DataFrame, title: str = "Draft"):
+    """The pieces of a page that shows annotated() blocks in order, headings as such, verdicts as marks behind the text."""
+    yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape.escape(title)}</title><style>mark{{font-size:80%;margin-left:.4em}}</style></head><body>"
+    for r in rows.orderBy("block_ord").toLocalIterator():
+        kind = "h2" if r["heading"] else "p"
+        marks = (r["annotated"] or "")[len(r["text"] or "") :].strip()
+        badges = "".join(f"<mark>{escape.escape(m.strip('[]'))}</mark>" for m in marks.split())
+        yield f"<{kind}>{escape.escape(r['text'] or '')}{badges}</{kind}>"
+    yield "</body></html>"
+
+
 def summary_json(row) -> str:
     """One summary row as JSON, keys sorted."""
     return json.dumps(row.asDict(recursive=True), indent=2, sort_keys=True)

@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, strip
 
-# fixed values: BibTeX syntax; values are read up to four braces deep
-ENTRY_BODY = r"(?:[^{}]++|\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\})*+"
+# fixed values: BibTeX syntax
 ENTRY_START = r"@([A-Za-z]+)\s*\{\s*([^,\s]+)\s*,"
-ENTRY = ENTRY_START + "(" + ENTRY_BODY + r")\}"
 FIELD = r"([A-Za-z][\w-]*)\s*="
 
 
@@ -71,17 +69,50 @@ def pdf_sources(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, path: str) -> DataFrame:
-    """All text and JSONL sources below a folder; an empty result is an error."""
-    parts = []
-    for read in (text_sources, jsonl_sources):
-        part = read(spark, path)
-        parts.append(part)
-    out = parts[0].unionByName(parts[1])
+    """All text, JSONL and PDF sources below a folder, by path; an empty result is an error.
+
+    PDF files need pypdf: without it, a folder that has some is an error too."""
+    out = text_sources(spark, path).unionByName(jsonl_sources(spark, path)).withColumn("pages", F.lit(None).cast("array<string>"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{pdf,PDF}").load(path)
+    if not files.select("path").isEmpty():
+        out = out.unionByName(pdf_sources(spark, path))
+    out = out.orderBy("path", "source_id")
     if out.isEmpty():
         raise ValueError(f"no sources in {path}")
     return out
 
 
+def _ddl(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
+
+
+def _split_entries(batches):
+    """The entries of each text; an entry ends where its braces balance, which no regular expression can tell."""
+    import re
+
+    import pyarrow as pa
+
+    start, kind = re.compile(ENTRY_START), pa.list_(pa.struct([("kind", pa.string()), ("key", pa.string()), ("body", pa.string())]))
+    brace = re.compile(r"[{}]")
+    for batch in batches:
+        found = []
+        for text in batch.column("__text").to_pylist():
+            own, at = [], 0
+            while text and (m := start.search(text, at)):
+                depth = 1
+                for b in brace.finditer(text, m.end()):
+                    depth += 1 if b[0] == "{" else -1
+                    if not depth:
+                        break
+                if depth:
+                    raise ValueError(f"Unclosed BibTeX entry: {m[2]}")
+                own.append({"kind": m[1], "key": m[2], "body": text[m.end() : b.start()]})
+                at = b.end()
+            found.append(own)
+        rest = [n for n in batch.schema.names if n != "__text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], pa.array(found, kind)], [*rest, "__entries"])
+
+
 def bibtex_entries(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts (with key columns) exploded to entries: key, entry_type, fields, entry_ord; of equal keys the last counts.
 
@@ -89,11 +120,9 @@ def bibtex_entries(texts: DataFrame, text: str = "text") -> DataFrame:
     from pyspark.sql import Window
 
     keep = [c for c in texts.columns if c != text]
-    starts, whole = F.regexp_count(text, F.lit(ENTRY_START)), F.regexp_extract_all(text, F.lit(ENTRY), F.lit(0))
-    checked = F.when(starts > F.size(whole), F.raise_error(F.lit("Unclosed BibTeX entry")).cast("array<string>")).otherwise(whole)
-    rows = texts.select(*keep, F.posexplode(checked).alias("entry_ord", "__entry"))
-    part = lambda g: F.regexp_extract("__entry", ENTRY, g)
-    rows = rows.select(*keep, "entry_ord", part(2).alias("key"), F.lower(part(1)).alias("entry_type"), part(3).alias("__body"))
+    parts = texts.select(*keep, F.col(text).alias("__text")).mapInArrow(_split_entries, _ddl(texts, keep) + "__entries array<struct<kind:string,key:string,body:string>>")
+    rows = parts.select(*keep, F.posexplode("__entries").alias("entry_ord", "__e"))
+    rows = rows.select(*keep, "entry_ord", F.col("__e.key").alias("key"), F.lower("__e.kind").alias("entry_type"), F.col("__e.body").alias("__body"))
     names = F.transform(F.regexp_extract_all("__body", F.lit(FIELD), F.lit(1)), F.lower)
     values = F.transform(F.slice(F.split("__body", FIELD), 2, 1 << 30), clean_value)
     rows = rows.withColumn("__f", F.arrays_zip(names.alias("name"), values.alias("value")))
