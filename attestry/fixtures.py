@@ -49,6 +49,7 @@ SQL = {
     "adjudicate_fixtures": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {_text(label)}, {_text(mode)})" for i, _, _, label, mode in PAIRS) + ") t(pair_id, label, failure_mode)",
     "parse_drafts": "SELECT * FROM (VALUES ('d1', 'The planner improves recall on long dialogues.', 'plan'), ('d1', 'The survey began in 2011 across hospitals.', 'survey,plan'), ('d1', 'The parser reads wards.', 'ghost')) t(draft_id, claim, keys)",
     "verify_drafts": "SELECT * FROM (VALUES ('The planner improves recall on long dialogues.', 'supported', CAST(NULL AS VARCHAR), 'passed'), ('The survey began in 2011 across hospitals.', 'contradicted', 'year_conflict', 'passed'), ('The parser reads wards.', 'uncertain', 'source_not_resolved', 'source_not_resolved')) t(claim, label, failure_mode, source_gate)",
+    "eval_drafts": "SELECT * FROM (VALUES ('e1', 'supported', CAST(NULL AS VARCHAR), false, true, 1::BIGINT), ('e2', 'contradicted', 'year_conflict', false, true, 1), ('e3', 'uncertain', 'source_not_resolved', false, true, 0)) t(id, predicted, predicted_mode, false_supported, pass, candidate_count)",
     "mutated_cases": "SELECT * FROM (VALUES ('c1::flip', 'c1', 'flip', 'The drug lowers pain.', 'The drug raises pain.', 'contradicted'), ('own', 'c1', 'mutation', 'The drug cures pain.', 'The drug lowers pain.', 'unsupported')) t(id, parent_id, mutation_kind, claim, evidence, expected_label)",
     "bibliography_report": "SELECT 4::BIGINT AS occurrences, 3::BIGINT AS cited, 'ghost' AS missing, 'spare' AS unused, '{\"survey\":[\"year\"]}' AS incomplete",
     "metadata_match": "SELECT * FROM (VALUES ('plan', 'verified', 'VALID', 0.95::DOUBLE), ('spare', 'not_found', 'HALLUCINATED', 0.65::DOUBLE), ('survey', 'not_found', 'HALLUCINATED', 0.65::DOUBLE)) t(bibtex_key, status, label, confidence)",

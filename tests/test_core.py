@@ -50,6 +50,8 @@ def test_claims(spark):
     assert one(spark, C.clauses(F.col("t")), t=r"We test on a dialogue corpus (Wards~\cite{w}).") == [r"Wards is a dialogue corpus \cite{w}."]
     assert one(spark, C.atoms(F.col("t")), t="Alpha improves recall and reduces cost.") == ["Alpha improves recall.", "Alpha reduces cost."]
     assert one(spark, C.atoms(F.col("t")), t="Alpha  stays.") == ["Alpha stays."]
+    nested = "\\emph{" * 9 + "deep" + "}" * 9
+    assert one(spark, C.prepared(F.col("t")), t=f"A {nested} b") == "A deep b"
     draft = "# Head\nA is B \\cite{k}. % no \\cite{z}\n\\begin{table}C \\cite{q}.\\end{table} D has E."
     rows = C.parse_claims(spark.createDataFrame([("d", draft)], "id string, text string")).collect()
     assert [(r["claim"], r["citation_keys"]) for r in rows] == [("A is B.", ["k"])]
@@ -170,6 +172,8 @@ def test_bibliography(spark):
     assert row["incomplete"] == '{"survey":["year"]}'
     found = readers.bibtex_entries(fixtures.frame(spark, "bibliographies")).where("key = 'plan'").first()
     assert found["fields"]["title"] == "Planning for {Long} Dialogues"
+    deep = "@misc{d, title={a {b {c {d {e {f}}}}}}, year=2001}"
+    assert readers.bibtex_entries(spark.createDataFrame([(deep,)], "text string")).first()["fields"] == {"title": "a {b {c {d {e {f}}}}}", "year": "2001"}
     with pytest.raises(Exception, match="Unclosed"):
         readers.bibtex_entries(spark.createDataFrame([("@misc{a, title={x}",)], "text string")).collect()
 
@@ -184,6 +188,9 @@ def test_alignment_is_greedy(spark):
     entries_ = spark.createDataFrame([("k1", 0, {"title": "Planning Long Dialogues"}), ("k2", 1, {"title": "Planning Long Walks"})], "key string, entry_ord int, fields map<string,string>")
     got = {r["source_id"]: r["citation_key"] for r in bib.align_sources(sources, entries_).collect()}
     assert got == {"a": "k1", "b": "k2"}
+    chain = spark.createDataFrame([(f"s{i}", f"s{i}", "alpha beta gamma", "t", f"{i}") for i in range(4)], sources.schema)
+    titles = spark.createDataFrame([(f"k{i}", i, {"title": " ".join(["alpha", "beta", "gamma"][: 3 - i])}) for i in range(3)], entries_.schema)
+    assert {r["source_id"]: r["citation_key"] for r in bib.align_sources(chain, titles).collect()} == {"s0": "k0", "s1": "k1", "s2": "k2", "s3": "s3"}
 
 
 def test_metrics(spark):
@@ -232,7 +239,7 @@ def test_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "conversations", "pages"):
+    for t in ("documents", "benchmark", "labels", "conversations", "pages", "nation", "orders"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.sql(entries.oracle_sql()[name]).df()
     got = entries.queries()[name](spark, SF).toPandas()
