@@ -157,12 +157,17 @@ def test_line_dedup(spark):
 
 def test_line_runs_compact(spark, tmp_path):
     runs = line_dedup.LineRuns(spark, 2, str(tmp_path / "runs"))
-    for i in range(4):
-        rows = [(h, h, 1, i, i) for h in range(i, i + 3)]
-        runs.add(spark.createDataFrame(rows, "h1 long, h2 long, n_rows long, lo long, hi long"))
-    assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert runs.runs().count() == 6 and runs.novel(runs.runs()).count() == 0
-    assert sorted(r[0] for r in runs.frequent(3).collect()) == [2, 3]
+    for i in range(6):
+        rows = [(h, h, 2, i) for h in range(i, i + 3)]
+        runs.add(spark.createDataFrame(rows, "h1 long, h2 long, n_docs long, keeper long"))
+    assert [len(x) for x in runs.levels] == [0, 1, 1] and len(runs.repeats) < 4
+    every = runs.novel(spark.createDataFrame([(h, h, 1, 1) for h in range(9)], "h1 long, h2 long, n_docs long, keeper long"))
+    assert [r["h1"] for r in every.collect()] == [8]
+    got = runs.frequent(6)
+    assert sorted((r["h1"], r["keeper"]) for r in got.collect()) == [(h, h) for h in range(2, 6)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    runs.forget()
 
 
 def base_row(text):
@@ -199,9 +204,22 @@ def test_quality_weights(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_quality_separates(spark):
-    out = quality.query(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
-    assert dict(out)[1] > 0.98 and dict(out)[0] < 0.1
+def test_quality_held_out(spark):
+    """Trusted documents outside a fifth by crc32 are the target; the fifth tells good from junk."""
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    weights = quality.learn(docs, quality.trusted_of(labels.where(toxicity.remainder() != 0)))
+    held = quality.quality_rules(docs.select("doc_id", "text"), weights).join(labels.where(toxicity.remainder() == 0), "doc_id")
+    out = held.where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")), F.count("*")).collect()
+    kept = {q: share for q, share, _ in out}
+    assert kept[1] > 0.98 and kept.get(0, 0.0) < 0.1
+
+
+def test_quality_odd_rows(spark):
+    weights = quality.learn(frame(spark, odd_rows()), spark.createDataFrame([(3,), (None,)], "doc_id long"), 64)
+    out = quality.quality_rules(frame(spark, odd_rows()).withColumn("lang", F.lit("x")), weights).collect()
+    assert len(out) == len(odd_rows()) and all(r["lang"] == "x" and r["kept"] is not None for r in out)
+    assert quality.quality_rules(frame(spark, []), weights).collect() == []
+    assert quality.learn(frame(spark, []), spark.createDataFrame([], "doc_id long"), 4) == [0.0] * 4
 
 
 @pytest.mark.parametrize(("word", "want"), [("moron", ("moron", 0)), ("moran", ("moron", 1)), ("mooron", ("moron", 1)), ("scum", ("scum", 0)), ("scun", None), ("disgustng", ("disgusting", 1)), ("disgutsing", ("disgusting", 2)), ("pathetc", ("pathetic", 1)), ("other", None)])
@@ -233,12 +251,40 @@ def test_quotation_counts_less():
     assert abuse[0] > 2 * quote[0] and quote[1] > abuse[1]
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+SF1 = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF1), reason="no test tables")
 def test_toxicity_held_out(spark):
-    out = toxicity.query(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").select("predicted", "toxic").collect()
-    assert sum(p == t for p, t in out) / len(out) > 0.9
+    """Toxic documents of the held-out fifth are found, and what is flagged is toxic; always saying 0 finds none."""
+    out = toxicity.query(spark, SF1).join(spark.read.parquet(f"{SF1}/labels.parquet"), "doc_id").where("held_out").select("predicted", "toxic").collect()
+    hit = sum(p == t == 1 for p, t in out)
+    assert hit >= 0.85 * sum(t for _, t in out) and hit >= 0.95 * sum(p for p, _ in out) and hit > 50
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_toxicity_misspelled(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    clean = "The ward opened early and the staff read the notes of the day before lunch. "
+    rows = [(1, clean * 2), (2, clean + "You are a mooron, you disgustng idoit, pathetc and worthles. " + clean), (3, clean + "They said the word \"moron\" is an insult. " * 1 + clean * 3), (4, None), (5, "")]
+    got = {r["doc_id"]: r for r in toxicity.score_documents(frame(spark, rows), model).collect()}
+    assert [got[i]["predicted"] for i in (1, 2, 3, 4, 5)] == [0, 1, 0, 0, 0]
+    exact = toxicity.Model(model.terms, model.ordinary, model.weights, model.bias)
+    plain = toxicity._Matches(exact.terms, frozenset(exact.ordinary))
+    for w in ("mooron", "disgustng", "idoit", "pathetc", "worthles"):
+        plain[w] = None
+    assert exact.score(toxicity.features(rows[1][1], plain)) < 0.5 < got[2]["score"]
+
+
+def test_toxicity_odd_rows(spark):
     none = toxicity.score_documents(frame(spark, odd_rows()), toxicity.learn(frame(spark, odd_rows()), spark.createDataFrame([], "doc_id long, toxic int"))).collect()
     assert len(none) == len(odd_rows()) and all(0 <= r["score"] < 0.5 and r["predicted"] == 0 for r in none)
+    rows = [(1, "you moron " * 30), (1, "calm " * 30), (6, "calm " * 30), (None, "x"), (7, None)]
+    model = toxicity.learn(frame(spark, rows).withColumn("toxic", F.lit(3)), spark.createDataFrame([(1, 1), (6, 0), (7, 0), (None, 1)], "doc_id long, toxic int"))
+    out = toxicity.score_documents(frame(spark, rows).withColumn("score", F.lit("x")), model)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == 5
+    assert toxicity.score_documents(frame(spark, []), model).collect() == []
 
 
 # -- tokens ------------------------------------------------------------------------
@@ -324,6 +370,23 @@ def test_packing_loss_limit():
     assert all(t[0] <= 64 and t[1] <= 8 and t[2] <= 20 for t in totals.values())
 
 
+def test_packing_waiting_tails_are_small():
+    """A piece that waits holds its own ids, not its document's."""
+    packer = packing.Packer(pool=64)
+    for i in range(40):
+        list(packer.add(packing.Piece(i, 0, np.arange(200_001, dtype=np.uint32), 200_001)))
+    held = sum((p.ids if p.ids.base is None else p.ids.base).nbytes for p in packer.pool)
+    assert packer.pool and held <= 4 * sum(map(len, packer.pool))
+    assert packing.Piece(1, 0, np.arange(9, dtype=np.uint32), 9).cut(4)[1].ids.base is None
+
+
+def test_packing_odd_rows(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = packing.pack(frame(spark, odd_rows()).withColumn("start", F.lit("x")), path).collect()
+    assert sum(r["length"] for r in out) == sum(len(packing.tokenizer_of(path)(t or "")) + 1 for _, t in odd_rows())
+    assert packing.pack(frame(spark, []), path).collect() == []
+
+
 # -- pages and recordings ------------------------------------------------------------
 
 PAGE = '<html lang=en><head><title>T &amp; x</title><style>p{}</style></head><body><nav><a href="/m">Menu</a></nav><div class="cookie-notice">We use cookies</div><article><h1>A &lt;B&gt;</h1><p>one <b>two</b><br>three<p>four<script>var a="</p>";</script> five</p><section id="comments"><p>first!</p></section></article><aside>side</aside><footer>end</footer></body></html>'
@@ -396,6 +459,42 @@ def test_warc(spark):
     assert b"one two three\n" in text and b"title: T & x\r\n" in fields and b"outlink: /m\r\n" in fields and warc.digest(text).encode() in fields and b"http-content-type: text/html" in fields
 
 
+def test_warc_files(spark, tmp_path):
+    """Records of plain and compressed files give what their pages give; chunks, compression and charsets are undone."""
+    import gzip
+    import zlib
+
+    rows = [(i, f"http://a.example/{i}", PAGE.replace("one", f"number{i}")) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = warc.derivatives(pages).collect()
+    whole = [bytes(r["record"]) for r in made if r["record_type"] == "response"]
+    (tmp_path / "a.warc").write_bytes(b"".join(whole[:10]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in whole[10:]))
+    got = warc.derive_records(warc.read_records(spark, str(tmp_path))).collect()
+    assert sorted(bytes(r["record"]) for r in got) == sorted(bytes(r["record"]) for r in made if r["record_type"] != "response")
+    html = "<p>caf\u00e9 <!-- <a href=/no> --><a href=/yes>x</a><script>'<a href=/not>'</script>".encode("latin-1")
+    body = zlib.compress(html)
+    chunked = b"5\r\n" + body[:5] + b"\r\n" + f"{len(body) - 5:x}\r\n".encode() + body[5:] + b"\r\n0\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nTransfer-Encoding: chunked\r\nContent-Encoding: deflate\r\n\r\n" + chunked
+    record = warc.serialise([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("Content-Length", str(len(block)))], block)
+    other = warc.serialise([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:2>"), ("Content-Length", "0")], b"")
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "c.warc").write_bytes(other + record + other)
+    out = {r["record_type"]: warc.parse(bytes(r["record"])) for r in warc.derive_records(warc.read_records(spark, str(tmp_path / "c"))).collect()}
+    assert set(out) == {"metadata", "conversion"} and out["conversion"][1].decode() == "caf\u00e9 x"
+    assert b"outlink: /yes" in out["metadata"][1] and b"/no" not in out["metadata"][1]
+    assert warc.derive_records(spark.createDataFrame([(None,)], "record binary")).collect() == []
+    assert warc.derivatives(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_audio_odd_rows(spark):
+    codes = np.arange(60, dtype=np.uint32) * np.uint32(2654435761)
+    rows = [(20, 60, codes.tobytes()), (21, 60, codes.tobytes()), (22, 60, codes.tobytes()), (22, 60, codes.tobytes()), (None, 60, codes.tobytes()), (40, 0, b""), (60, 3, codes[:3].tobytes())]
+    got = {r["id"]: r for r in audio.align(spark.createDataFrame(rows, "id long, n_codes long, codes binary")).collect()}
+    assert (got[20]["n_matches"], got[20]["best_match"]) == (2, 21) and got[60]["n_matches"] == 0 and got[40]["best_match"] is None
+    assert audio.align(spark.createDataFrame([], "id long, n_codes long, codes binary")).collect() == []
+
+
 def test_audio(spark):
     rng = np.random.default_rng(3)
     vectors = [rng.normal(0, 0.15, 64).tolist() for _ in range(41)]
