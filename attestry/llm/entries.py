@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL}
+    return {"op1_suffix_dedup": suffix_dedup.SQL, "op3_line_dedup": line_dedup.SQL, "op5_jaccard_join": jaccard_join.SQL}

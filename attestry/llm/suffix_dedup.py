@@ -371,3 +371,33 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     out = remove_repeats(texts(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same over small tables.
+SQL = r"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), parts AS (
+  SELECT doc_id, k, substr(h, k * 2000 + 1, 2098) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2000 + 1)) AS k FROM bytes)
+), starts AS (
+  SELECT doc_id, part, k, unnest(range(0, least(1000, length(part) // 2 - 49))) AS j FROM parts
+), windows AS (
+  SELECT doc_id, k * 1000 + j AS pos, md5_number(substr(part, 2 * j + 1, 100)) AS s FROM starts
+), least_holder AS (
+  SELECT s, min(doc_id) AS holder FROM windows GROUP BY s
+), hits AS (
+  SELECT doc_id, pos FROM windows JOIN least_holder USING (s) WHERE holder < doc_id
+), marked AS (
+  SELECT doc_id, pos, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50, true) AS new FROM hits
+), numbered AS (
+  SELECT doc_id, pos, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM marked
+), spans AS (
+  SELECT doc_id, span, min(pos) AS b, max(pos) + 50 AS e FROM numbered GROUP BY ALL
+), cuts AS (
+  SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS from_ FROM spans
+  UNION ALL SELECT doc_id, length(h) // 2, NULL, coalesce((SELECT max(e) FROM spans s WHERE s.doc_id = d.doc_id), 0) FROM bytes d
+)
+SELECT d.doc_id, any_value(length(h)) // 2 AS n_bytes, coalesce(sum(e - b), 0)::BIGINT AS n_removed, count(e) AS n_spans,
+  sha256(unhex(coalesce(string_agg(substr(h, 2 * from_ + 1, 2 * (b - from_)), '' ORDER BY b, from_), ''))) AS kept_sha256
+FROM bytes d JOIN cuts c ON d.doc_id = c.doc_id GROUP BY d.doc_id
+"""
