@@ -127,6 +127,39 @@ def test_jaccard_join(spark, monkeypatch, k, a, b, part):
     assert sorted((str(r["doc_id"]), r["n_shingles"], "-" if r["doc_id"] is None else str(r["component_id"])) for r in got) == brute_components(rows, k, a, b)
 
 
+def test_jaccard_join_long_chain(spark, monkeypatch):
+    """One component whose members are linked with their neighbours alone, so that hubs reach few of them."""
+    monkeypatch.setattr(jaccard_join, "PART", 64)
+    rows = [(5000 - i, " ".join(f"w{j}" for j in range(2 * i, 2 * i + 60))) for i in range(1500)]
+    rows += [(9000 + i, " ".join(f"v{j}" for j in range(40 * i, 40 * i + 60))) for i in range(50)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(frame(spark, rows), 3, (80, 100)).collect()}
+    assert all(got[d] == 3501 for d, _ in rows[:1500]) and all(got[d] == d for d, _ in rows[1500:])
+
+
+def test_keys_leave_frequent_ones_out():
+    """Linked sets share one of the first keys of both in any order of the keys, here by how many sets have them."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    sets = []
+    for _ in range(60):
+        own = rng.integers(0, 1 << 63, int(rng.integers(20, 300)), dtype=np.uint64)
+        base = np.concatenate([passage, own])
+        sets += [base, np.concatenate([base[3:], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])]
+    sets = [np.unique(x) for x in sets]
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    keys, doc, section, most = jaccard_join.keys_of(np.concatenate(sets), cuts, 4, 5)
+    known, of, often = np.unique(keys, return_inverse=True, return_counts=True)
+    chosen = [set() for _ in sets]
+    for x in np.unique(section):
+        at = np.flatnonzero(section == x)
+        at = at[np.lexsort((keys[at], often[of[at]]))][: most[at[0]]]
+        chosen[doc[at[0]]] |= set(keys[at].tolist())
+    for i in range(0, len(sets), 2):
+        x, y = sets[i], sets[i + 1]
+        common = len(np.intersect1d(x, y))
+        assert 5 * common < 4 * (len(x) + len(y) - common) or chosen[i] & chosen[i + 1]
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.near_duplicates(frame(spark, [])).collect() == []
 
@@ -427,6 +460,11 @@ def test_large_host_counts_whole(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     dealt, whole = (sorted(html.main_text(df, group=g).collect()) for g in (4, 256))
     assert dealt == whole and not any(notice in r["text"] for r in dealt) and all(f"story {r['page_id']} " in r["text"] for r in dealt)
+    others = [(1000 + i, f"http://h{i % 40}.example/", f"<div>{' '.join(f'o{i}x{j}' for j in range(30))}</div>") for i in range(800)]
+    more = html.main_text(df.unionByName(spark.createDataFrame(others, df.schema)), group=16).where("page_id < 1000").collect()
+    assert sorted(more) == whole
+    off = html.main_text(df, shared=10**6, many=10**6).collect()
+    assert sum(notice in r["text"] for r in off) == 3
 
 
 def test_few_copies_outside_articles_stay(spark):
