@@ -1 +1 @@
-
+"""Drafts as a stream."""

@@ -13,6 +13,7 @@ from attestry.operators.judge import adjudicate_pairs
 from attestry.plans import suite
 from attestry.sinks import report
 from attestry.sources import providers, readers
+from attestry.streaming import drafts
 
 CASE = {"claim": "The drug lowers pain in 40 patients.", "evidence": "The drug lowers pain in 55 patients.", "expected_label": "contradicted", "expected_failure_mode": "numeric_conflict"}
 SAME = {"id": "s", "claim": "The drug lowers pain.", "evidence": "The drug lowers pain.", "expected_label": "supported"}
@@ -129,6 +130,20 @@ def test_methods(spark):
         chat.reply("no object")
 
 
+def test_streams(spark, tmp_path):
+    folder = tmp_path / "drafts"
+    folder.mkdir()
+    (folder / "a.md").write_text("The planner improves recall \\cite{plan}. No claim here.")
+    (folder / "b.md").write_text("The tagger reads notes [@plan].")
+    claims = drafts.claim_stream(drafts.draft_stream(spark, str(folder), files=1))
+    assert claims.isStreaming
+    sources = spark.createDataFrame([("plan", "plan", "plan", "The planner improves recall.")], "source_id string, citation_key string, title string, text string")
+    for _ in range(2):  # started again, it has nothing left to do
+        drafts.verify_stream(claims, sources, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(240)
+    got = {r["claim"]: r["label"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["The planner improves recall."] == "supported" and len(got) == 2
+
+
 def test_numbered(spark):
     rows = spark.range(0, 5000, numPartitions=7).selectExpr("4999 - id AS id")
     assert [tuple(r) for r in report.numbered(rows, "id", "n").where("n <> id + 1").collect()] == []
