@@ -37,19 +37,26 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__words", words(F.col("text"))).withColumn("__hs", endings())
 
 
+#: Trusted doc_ids are broadcast up to so many (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
 def learn(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Weights log(p_trusted / p_raw) of the buckets, add-one smoothed.
 
-    docs is the raw corpus, all of it; trusted has the doc_id of the trusted target's documents. One pass counts both;
-    the result has a fixed length whatever the corpus."""
-    ids = trusted.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__t", F.lit(1))
-    bare = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
-    grams = hashed(bare).select("__t", F.explode(ngrams("__hs", buckets)).alias("b"))
-    rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("__t").alias("target")).collect()
+    docs is the raw corpus, all of it, counted where it is read; trusted has the doc_id of the trusted target's documents,
+    which are counted once more. The result has a fixed length whatever the corpus."""
+    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    bare = docs.select("doc_id", "text")
+
+    def counted(df: DataFrame, target: bool) -> DataFrame:
+        return hashed(df).select(F.explode(ngrams("__hs", buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("n")).withColumn("target", F.lit(target))
+
+    rows = counted(bare, False).unionByName(counted(bare.join(ids, "doc_id", "left_semi"), True)).collect()  # two for each bucket
     raw, target = [SMOOTH] * buckets, [SMOOTH] * buckets
     for r in rows:
-        raw[r["b"]] += r["raw"]
-        target[r["b"]] += r["target"]
+        (target if r["target"] else raw)[r["b"]] += r["n"]
     n_raw, n_target = sum(raw), sum(target)
     return [math.log(t / n_target) - math.log(r / n_raw) for t, r in zip(target, raw, strict=True)]
 
