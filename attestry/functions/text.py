@@ -62,6 +62,12 @@ def expanded_tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(tokens(text), tokens(F.regexp_replace(joined_capitals(text), "(?<=[a-z])(?=[A-Z])", " "))))
 
 
+def camel_tokens(text: Column) -> Column:
+    """As expanded_tokens, without joining split acronyms: a text without camel case is tokenised once."""
+    split = F.concat(tokens(text), tokens(F.regexp_replace(text, "(?<=[a-z])(?=[A-Z])", " ")))
+    return F.array_distinct(F.when(text.rlike("[a-z][A-Z]"), split).otherwise(tokens(text)))
+
+
 def academic_tokens(text: Column) -> Column:
     """Expanded tokens with paraphrases made alike; a set."""
     said = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])

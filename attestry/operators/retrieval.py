@@ -44,34 +44,40 @@ def unresolved(claims: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     return keys.join(chunk_rows.select("citation_key").distinct(), "citation_key", "left_anti").select("claim_id").distinct()
 
 
-def retrieve(claims: DataFrame, chunk_rows: DataFrame, limit: int = CHUNK_LIMIT) -> DataFrame:
+def rank_chunks(claims: DataFrame, chunk_rows: DataFrame, limit: int = CHUNK_LIMIT, words=expanded_tokens, bonuses: bool = True) -> DataFrame:
     """The best chunks of each claim: n_shared, n_claim, n_chunk, chunk_score, chunk_rank. Ties go to the earlier chunk.
 
-    claims: claim_id, claim, citation_keys. An inverted index: claims meet chunks on tokens, on the tokens of their
-    names, and on the survey rules that both sides meet; claims with keys meet their sources' chunks only. Tokens, names
-    and rules are found once for each text, and texts join again only what is ranked."""
-    side = claims.select("claim_id", "citation_keys", expanded_tokens(F.col("claim")).alias("t"), anchors(F.col("claim")).alias("a"), survey_claim(F.col("claim")).alias("s"))
-    rows = chunk_rows.select("chunk_id", "citation_key", expanded_tokens(F.col("chunk")).alias("t"), survey_evidence(F.col("chunk")).alias("s"))
-    index = rows.select("chunk_id", "citation_key", F.size("t").alias("n_chunk"), F.explode("t").alias("on"))
-    rules = rows.select("chunk_id", "citation_key", F.size("t").alias("n_chunk"), F.explode("s").alias("on"))
+    claims: claim_id, claim, citation_keys. An inverted index: claims meet chunks on words, and for the bonuses on the
+    tokens of their names and on the survey rules that both sides meet; claims with keys meet their sources' chunks only.
+    Words, names and rules are found once for each text."""
+    side = claims.select("claim_id", "citation_keys", words(F.col("claim")).alias("t"), anchors(F.col("claim")).alias("a"), survey_claim(F.col("claim")).alias("s"))
+    rows = chunk_rows.select("chunk_id", "citation_key", "source_id", "chunk_ord", words(F.col("chunk")).alias("t"), survey_evidence(F.col("chunk")).alias("s"))
+    chunk = ["chunk_id", "source_id", "chunk_ord", "n_chunk"]
+    index = rows.withColumn("n_chunk", F.size("t")).select("citation_key", *chunk, F.explode("t").alias("on"))
+    rules = rows.withColumn("n_chunk", F.size("t")).select("citation_key", *chunk, F.explode("s").alias("on"))
     keyed = side.where(F.size("citation_keys") > 0).withColumn("citation_key", F.explode(F.array_distinct("citation_keys")))
     free = side.where(F.size("citation_keys") == 0)
-    none = F.lit(0).cast("long")
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
     def met(part, right, shared, names, survey):
         cols = ["claim_id", "n_claim", F.explode(part).alias("on")]
         counted = [shared.alias("n_shared"), names.alias("n_names"), survey.alias("n_survey")]
-        pick = lambda df, on: df.withColumn("n_claim", F.size("t")).select(*cols, *[c for c in on if c != "on"]).join(right, on).select("claim_id", "chunk_id", "n_claim", "n_chunk", *counted)
+        pick = lambda df, on: df.withColumn("n_claim", F.size("t")).select(*cols, *[c for c in on if c != "on"]).join(right, on).select("claim_id", "n_claim", *chunk, *counted)
         return pick(keyed, ["citation_key", "on"]).unionByName(pick(free, ["on"]))
 
-    one = F.lit(1).cast("long")
-    pairs = met("t", index, one, none, none).unionByName(met("a", index, none, one, none)).unionByName(met("s", rules, none, none, one))
-    pairs = pairs.groupBy("claim_id", "chunk_id", "n_claim", "n_chunk").agg(F.sum("n_shared").alias("n_shared"), F.sum("n_names").alias("n_names"), F.max("n_survey").alias("n_survey"))
+    pairs = met("t", index, one, none, none)
+    if bonuses:
+        pairs = pairs.unionByName(met("a", index, none, one, none)).unionByName(met("s", rules, none, none, one))
+    pairs = pairs.groupBy("claim_id", "n_claim", *chunk).agg(F.sum("n_shared").alias("n_shared"), F.sum("n_names").alias("n_names"), F.max("n_survey").alias("n_survey"))
     score = F.col("n_shared") / F.sqrt(F.col("n_claim").cast("double") * F.col("n_chunk")) + ANCHOR_BONUS * F.col("n_names") + SURVEY_BONUS * F.col("n_survey")
     scored = pairs.withColumn("chunk_score", F.bround(score, 4)).where("chunk_score > 0").drop("n_names", "n_survey")
-    scored = scored.join(chunk_rows.select("chunk_id", "source_id", "chunk_ord"), "chunk_id")
     order = Window.partitionBy("claim_id").orderBy(F.desc("chunk_score"), "source_id", "chunk_ord")
-    best = scored.withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= limit).drop("source_id", "chunk_ord")
+    return scored.withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= limit).drop("source_id", "chunk_ord")
+
+
+def retrieve(claims: DataFrame, chunk_rows: DataFrame, limit: int = CHUNK_LIMIT) -> DataFrame:
+    """The chunks of rank_chunks() with all columns of the chunk, and the claim; texts join only what is ranked."""
+    best = rank_chunks(claims, chunk_rows, limit)
     return best.join(claims.select("claim_id", "claim"), "claim_id").join(chunk_rows, "chunk_id")
 
 

@@ -246,3 +246,27 @@ def test_against_sql(spark, name):
     cols = sorted(want.columns)
     rows = lambda df: sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
     assert sorted(got.columns) == cols and rows(got) == rows(want)
+
+
+def test_retrieve_topk_sql_on_acronyms(spark, tmp_path):
+    """Claims with names, split acronyms on both sides, camel case, equal scores and missing texts, against the SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("""CREATE TABLE documents AS SELECT * FROM (VALUES
+      (1, 'Licensed under CC BY-NC 4.0. Cats sleep near the SS harbour.', 'a'), (2, 'Cats sleep near the harbour.', 'a'), (10, 'Cats sleep near the harbour.', 'b'),
+      (11, 'The dataSet of iPhone photos, B LEURT and BLEURT.', 'b'), (12, NULL, 'a'), (13, '', 'a'), (14, 'the of', 'a'), (15, 'Nothing alike here', 'a')) t(doc_id, text, source)""")
+    con.sql("""CREATE TABLE benchmark AS SELECT * FROM (VALUES
+      (1, 'Licensed under CC BY-NC 4.0.'), (2, 'SS harbour cats'), (3, 'BLEURT and dataSet'), (4, 'B LEURT'), (5, NULL), (6, 'the of'), (7, 'Cats sleep near')) t(item_id, text)""")
+    for t, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        con.sql(f"COPY (SELECT * REPLACE ({key}::BIGINT AS {key}) FROM {t}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    want = con.sql(entries.oracle_sql()["retrieve_topk"]).fetchall()
+    got = [tuple(r) for r in entries.retrieve_topk(spark, str(tmp_path)).collect()]
+    assert len(want) > 8 and sorted(got) == sorted(want)
+
+
+def test_retrieve_keeps_bonuses(spark):
+    sources = spark.createDataFrame([("s1", "k", "s1", "B LEURT scores"), ("s2", "k", "s2", "scores rise")], "source_id string, citation_key string, title string, text string")
+    claims = spark.createDataFrame([(1, "BLEURT scores", ["k"])], "claim_id long, claim string, citation_keys array<string>")
+    got = {r["source_id"]: (r["n_shared"], r["n_chunk"], r["chunk_score"]) for r in retrieve(claims, build_chunks(sources)).collect()}
+    assert got == {"s1": (2, 4, 0.9571), "s2": (1, 2, 0.5)}
