@@ -26,7 +26,7 @@ def build_chunks(sources: DataFrame) -> DataFrame:
     out = sources.withColumn("__pages", pages).withColumn("__paged", F.coalesce(F.size("__pages") > 0, F.lit(False)))
     out = out.select("source_id", "citation_key", "title", "__paged", F.posexplode(F.when(F.col("__paged"), F.col("__pages")).otherwise(F.array("text"))).alias("__p", "__text"))
     out = out.withColumn("__chunks", chunks(F.col("__text")))
-    out = out.select("source_id", "citation_key", "title", "__paged", "__p", F.posexplode("__chunks").alias("__i", "chunk"))
+    out = out.select("source_id", "citation_key", "title", "__paged", "__p", F.posexplode_outer("__chunks").alias("__i", "chunk")).where("chunk IS NOT NULL")
     page = F.when(F.col("__paged"), F.col("__p") + 1)
     name = F.when(F.col("__paged"), F.concat_ws(":", "source_id", F.concat(F.lit("p"), page), F.col("__i"))).otherwise(F.concat_ws(":", "source_id", F.col("__i")))
     return out.select("source_id", "citation_key", "title", page.alias("page"), name.alias("chunk_id"), (F.col("__p") * 1_000_000 + F.col("__i")).cast("long").alias("chunk_ord"), "chunk")
@@ -49,12 +49,14 @@ def rank_chunks(claims: DataFrame, chunk_rows: DataFrame, limit: int = CHUNK_LIM
 
     claims: claim_id, claim, citation_keys. An inverted index: claims meet chunks on words, and for the bonuses on the
     tokens of their names and on the survey rules that both sides meet; claims with keys meet their sources' chunks only.
-    Words, names and rules are found once for each text."""
+    Words, names and rules are found once for each text. Chunks are dealt out by chunk_id first, so pairs are counted where
+    they are made; explodes are outer ones because Spark would evaluate the others' arrays twice."""
     side = claims.select("claim_id", "citation_keys", words(F.col("claim")).alias("t"), anchors(F.col("claim")).alias("a"), survey_claim(F.col("claim")).alias("s"))
-    rows = chunk_rows.select("chunk_id", "citation_key", "source_id", "chunk_ord", words(F.col("chunk")).alias("t"), survey_evidence(F.col("chunk")).alias("s"))
+    rows = chunk_rows.select("chunk_id", "citation_key", "source_id", "chunk_ord", "chunk").repartition("chunk_id")
+    rows = rows.select("chunk_id", "citation_key", "source_id", "chunk_ord", words(F.col("chunk")).alias("t"), survey_evidence(F.col("chunk")).alias("s"))
     chunk = ["chunk_id", "source_id", "chunk_ord", "n_chunk"]
-    index = rows.withColumn("n_chunk", F.size("t")).select("citation_key", *chunk, F.explode("t").alias("on"))
-    rules = rows.withColumn("n_chunk", F.size("t")).select("citation_key", *chunk, F.explode("s").alias("on"))
+    index = rows.withColumn("n_chunk", F.size("t")).select("citation_key", *chunk, F.explode_outer("t").alias("on"))
+    rules = rows.withColumn("n_chunk", F.size("t")).select("citation_key", *chunk, F.explode_outer("s").alias("on"))
     keyed = side.where(F.size("citation_keys") > 0).withColumn("citation_key", F.explode(F.array_distinct("citation_keys")))
     free = side.where(F.size("citation_keys") == 0)
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
@@ -65,14 +67,16 @@ def rank_chunks(claims: DataFrame, chunk_rows: DataFrame, limit: int = CHUNK_LIM
         pick = lambda df, on: df.withColumn("n_claim", F.size("t")).select(*cols, *[c for c in on if c != "on"]).join(right, on).select("claim_id", "n_claim", *chunk, *counted)
         return pick(keyed, ["citation_key", "on"]).unionByName(pick(free, ["on"]))
 
-    pairs = met("t", index, one, none, none)
+    pairs, counts = met("t", index, one, none, none), [F.sum("n_shared").alias("n_shared")]
+    score = F.col("n_shared") / F.sqrt(F.col("n_claim").cast("double") * F.col("n_chunk"))
     if bonuses:
         pairs = pairs.unionByName(met("a", index, none, one, none)).unionByName(met("s", rules, none, none, one))
-    pairs = pairs.groupBy("claim_id", "n_claim", *chunk).agg(F.sum("n_shared").alias("n_shared"), F.sum("n_names").alias("n_names"), F.max("n_survey").alias("n_survey"))
-    score = F.col("n_shared") / F.sqrt(F.col("n_claim").cast("double") * F.col("n_chunk")) + ANCHOR_BONUS * F.col("n_names") + SURVEY_BONUS * F.col("n_survey")
-    scored = pairs.withColumn("chunk_score", F.bround(score, 4)).where("chunk_score > 0").drop("n_names", "n_survey")
+        counts += [F.sum("n_names").alias("n_names"), F.max("n_survey").alias("n_survey")]
+        score = score + ANCHOR_BONUS * F.col("n_names") + SURVEY_BONUS * F.col("n_survey")
+    scored = pairs.groupBy("claim_id", "n_claim", *chunk).agg(*counts).withColumn("chunk_score", F.bround(score, 4)).drop("n_names", "n_survey")
     order = Window.partitionBy("claim_id").orderBy(F.desc("chunk_score"), "source_id", "chunk_ord")
-    return scored.withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= limit).drop("source_id", "chunk_ord")
+    best = scored.withColumn("chunk_rank", F.row_number().over(order)).where(F.col("chunk_rank") <= limit)
+    return best.where("chunk_score > 0").drop("source_id", "chunk_ord")
 
 
 def retrieve(claims: DataFrame, chunk_rows: DataFrame, limit: int = CHUNK_LIMIT) -> DataFrame:
